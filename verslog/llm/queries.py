@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verslog.llm.leak import RUN, find_leaks
 from verslog.llm.pack import count_tokens, pack
 from verslog.llm.seen import error_rate, seen_before
+from verslog.llm.sentences import split_sentences
 
 #: The table of containers is a handful of settings; more rows than this are no such table.
 MOST_CONTAINERS = 1000
@@ -54,7 +55,18 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return p8_found(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p7_pack, p7_fill, p8_found, p8_items)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Ends of the sentence units of every speech."""
+    return split_sentences(_read(spark, sf, "documents"))
+
+
+def p9_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Speeches by their number of units."""
+    units = p9_found(spark, sf).groupBy("doc_id").agg(F.count("*").alias("units"))
+    return units.groupBy("units").agg(F.count("*").alias("docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p7_pack, p7_fill, p8_found, p8_items, p9_found, p9_units)}
 
 _P8 = rf"""WITH n AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM eval_items WHERE text IS NOT NULL),
