@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verslog.plans import problems
+from verslog.plans import kv, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**kv.QUERIES, **problems.QUERIES}
+ORACLE = {**kv.ORACLE, **problems.ORACLE}
