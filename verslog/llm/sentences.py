@@ -60,6 +60,7 @@ OTHER = frozenset("the of and to a in is that le la les et du que un une el los
 SPEAKER_LINE = 100
 
 _CLOSING = "".join(sorted({c for x in (*BRACKETS.values(), *QUOTES.values()) for c in x}))
+_QUOTE_ENDS = "".join(QUOTES.values())
 _OPENING = "".join({*BRACKETS, *QUOTES})
 _STOPS = LATIN_STOPS + WIDE_STOPS + INDIC_STOPS + OTHER_STOPS
 _RUN = rf"[{regex.escape(_STOPS)}]+(?:[   ]?[!?…।॥]+)*"
@@ -256,7 +257,7 @@ class Automaton:
                 return None if text.startswith(GO_ON[script], at) else b
             return None if script in ("th", "hi") or at == b or not self._begins(at, stop) or not nxt.isupper() and nxt not in _OPENING + "¿¡" and not nxt.isdigit() and not nxt.islower() else b
         if script in ("ja", "zh", "th", "hi"):  # no stop of these scripts, but quotations in others bring theirs along
-            return b if text[a - 1] in _CLOSING and text[a - 1] in QUOTES.values() else None
+            return b if text[a - 1] in _QUOTE_ENDS else None
         return b if self._full_stop(unit, a, b, at, stop) else None
 
     def _full_stop(self, unit: int, a: int, b: int, at: int, stop: int) -> bool:
