@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from verslog.functions import keys as K
 from verslog.operators import bloom, cache, families, index, merge, order, resolve, scan, ttl, txn
+from verslog.session import scratch
 from verslog.sources import log as L
+from verslog.sources.backup import verify
+from verslog.streaming import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -617,3 +620,96 @@ def arc_simulation(spark, sf):
     """Users' pages in one cache per kind of event."""
     trace = L.table(spark, sf, "events").select(F.col("event_type").alias("cache_id"), F.col("event_id").alias("step"), F.col("user_id").alias("key"))
     return cache.simulate(trace, 64)
+
+
+# --- shipping and backup ---------------------------------------------------------------------------------------------
+
+
+@query(_LOG + f", r AS (SELECT min(seq) AS low FROM (SELECT seq FROM log ORDER BY seq DESC LIMIT {RING})) SELECT key, value, log.seq, tombstone FROM log, r, n WHERE log.seq >= low AND log.seq * 2 > n")
+def ring_since(spark, sf):
+    """What a follower that has half the log still gets from the leader's ring."""
+    log, last = _log(spark, sf)
+    return ship.ring_since(log, last // 2).select("key", "value", "seq", "tombstone")
+
+
+_APPLIED = """WITH s AS (SELECT store, key, value, seq, coalesce(tombstone, false) OR coalesce(kind = 1, false) AS dead FROM wal_records WHERE key IS NOT NULL AND seq IS NOT NULL AND (kind IS NULL OR kind IN (0, 1))),
+a AS (SELECT store, key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY store, key ORDER BY seq DESC, dead DESC, value DESC NULLS LAST) AS r FROM s) WHERE r = 1 AND NOT dead)
+"""
+
+
+@query(_APPLIED + "SELECT * FROM a")
+def replica_apply(spark, sf):
+    """State of all stores after the shipped records, repeated and late ones included."""
+    return resolve.live(ship.data_records(L.table(spark, sf, "wal_records")), ["store", "key"]).select("store", "key", "value", "seq")
+
+
+@query(_APPLIED + "SELECT * FROM a")
+def replica_apply_stream(spark, sf):
+    """The same by a follower that reads the records as a stream."""
+    source = L.table(spark, sf, "wal_records")
+    at = scratch(spark, "follower")
+    schema = ship.data_records(source).select("store", "key", "value", "seq", "tombstone").schema
+    follower = ship.Follower(spark, at, schema, ["store"])
+    follower.follow(L.stream_table(spark, sf, "wal_records"), f"{at}/checkpoint")
+    return follower.state().select("store", "key", "value", "seq")
+
+
+@query("""SELECT l.store, max(l.seq) AS leader_seq, coalesce(any_value(f.m), 0) AS follower_seq, greatest(max(l.seq) - coalesce(any_value(f.m), 0), 0) AS lag
+FROM wal_records l LEFT JOIN (SELECT store, max(seq) AS m FROM wal_log GROUP BY store) f ON f.store = l.store GROUP BY l.store""")
+def replica_lag(spark, sf):
+    """How far the feed's stores are behind the shipped records."""
+    return ship.lag(L.table(spark, sf, "wal_records"), L.table(spark, sf, "wal_log"), "store")
+
+
+@query(_LOG + f""", r AS (SELECT min(seq) AS low FROM (SELECT seq FROM log ORDER BY seq DESC LIMIT 2000))
+SELECT s_suppkey AS follower, (s_suppkey * 7919) % n AS last_seq, (s_suppkey * 7919) % n < low - 1 AS resync FROM supplier, n, r""")
+def resync_needed(spark, sf):
+    """A follower per supplier, somewhere in the log, and a ring of 2,000 records."""
+    log, last = _log(spark, sf)
+    followers = L.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("follower"), (F.col("s_suppkey") * 7919 % last).alias("last_seq"))
+    return ship.resync_needed(log, followers, 2000)
+
+
+@query(_LOG + _TTL + f"SELECT key, expire_at_ns FROM td WHERE expire_at_ns < {NOW_NS}")
+def ttl_reap_stream(spark, sf):
+    """Deadlines as a stream, then one sweep."""
+    at = scratch(spark, "reaper")
+    L.ttl_log(L.event_log(spark, sf)).write.parquet(f"{at}/source")
+    schema = L.ttl_log(L.event_log(spark, sf)).schema
+    return ship.sweep(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/source"), at, f"{at}/checkpoint", NOW_NS)
+
+
+_LINE = "concat_ws('|', CAST(seq AS varchar), key, coalesce(value, '-'))"
+_MANIFEST = f""",
+mf AS (SELECT printf('seg_%06d', CAST(segment AS bigint)) AS name, sum({_BYTES} + 32) AS size, sha256(string_agg({_LINE}, ';' ORDER BY seq)) AS sha256 FROM sg GROUP BY segment)"""
+
+
+def _segment_files(spark, sf) -> DataFrame:
+    """Name, size and hash of each flushed segment; a segment has a bounded number of bytes, so its lines fit a row."""
+    log = L.event_log(spark, sf)
+    placed = log.join(merge.flush_segments(log, FLUSH_BYTES).withColumnRenamed("seq", "s"), F.col("seq") == F.col("s"))
+    line = F.concat_ws("|", F.col("seq").cast("string"), "key", F.coalesce("value", F.lit("-")))
+    got = placed.groupBy("segment").agg(F.sum(merge.entry_bytes(merge.MEM_OVERHEAD)).alias("size"), F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))).alias("lines"))
+    return got.select(F.format_string("seg_%06d", "segment").alias("name"), "size", F.sha2(F.array_join(F.col("lines.line"), ";"), 256).alias("sha256"))
+
+
+@query(_LOG + _SEGMENTS + _MANIFEST + "SELECT name, CAST(size AS bigint) AS size, sha256 FROM mf")
+def backup_manifest(spark, sf):
+    return _segment_files(spark, sf)
+
+
+@query(_LOG + _SEGMENTS + _MANIFEST + "SELECT name, CASE WHEN CAST(right(name, 6) AS integer) % 3 = 0 THEN 'MISSING' ELSE 'SHA256' END AS problem FROM mf WHERE CAST(right(name, 6) AS integer) % 3 <> 1")
+def restore_verify(spark, sf):
+    """A backup in which every third segment is lost and every third damaged."""
+    listed = _segment_files(spark, sf)
+    number = F.substring("name", -6, 6).cast("int") % 3
+    found = listed.where(number != 0).withColumn("sha256", F.when(number == 2, F.reverse("sha256")).otherwise(F.upper("sha256")))
+    return verify(listed, found)
+
+
+@query("SELECT store, manifest_id, snap_seq, files FROM (SELECT store, manifest_id, snap_seq, len(files) AS files, row_number() OVER (PARTITION BY store ORDER BY created_at DESC, manifest_id DESC, len(files) DESC) AS r FROM manifests WHERE lower(trim(outcome)) = 'ok') WHERE r = 1")
+def newest_backup(spark, sf):
+    """The backup to restore each store from."""
+    good = L.table(spark, sf, "manifests").where("lower(trim(outcome)) = 'ok'")
+    best = good.groupBy("store").agg(F.max(F.struct("created_at", "manifest_id", F.size("files").cast("long").alias("files"), "snap_seq")).alias("b"))
+    return best.select("store", "b.manifest_id", "b.snap_seq", "b.files")

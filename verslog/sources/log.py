@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream of its files. As a pattern the path may be a single file or a folder."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name[:-1]}?.parquet")
+
+
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
     """Versions per user and slot: seq, key, value, tombstone (errors delete), ts and txn_id (four of ten in transactions)."""
     dead = F.col("event_type") == "error"
