@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verslog.commits import CommitLog, LostRace
+
 #: Positions in a bucket: the most rows of a scope that one window has to order.
 BUCKET = 1 << 16
 
@@ -108,22 +110,12 @@ class WorkLedger:
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._Path(self.folder + "/commits"))
+        self.folder = folder.rstrip("/")
+        self._log = CommitLog(spark, self.folder + "/commits")
         self._n, self._units = 0, {}
 
     def _refresh(self) -> dict:
-        while self._fs.exists(at := self._Path(f"{self.folder}/commits/{self._n + 1:012d}.json")):
-            stream = self._fs.open(at)
-            try:
-                text = bytes(stream.readAllBytes()).decode()
-            finally:
-                stream.close()
-            if not text.endswith("\n"):
-                break  # another process is still writing it
+        while (text := self._log.read(self._n + 1)) is not None:
             for unit, change in json.loads(text).items():
                 self._units.setdefault(unit, {"state": "pending", "token": 0, "expires_at": 0.0}).update(change)
             self._n += 1
@@ -131,19 +123,14 @@ class WorkLedger:
 
     def _commit(self, decide):
         """decide(units) gives (changes, result); taken again from the newest state until the commit file is ours."""
-        jvm = self.spark.sparkContext._jvm
         for _ in range(1000):
             changes, result = decide(self._refresh())
             if not changes:
                 return result
             try:
-                out = self._fs.create(self._Path(f"{self.folder}/commits/{self._n + 1:012d}.json"), False)
-            except Exception as e:
-                if "AlreadyExists" in str(e) or "already exists" in str(e):
-                    continue
-                raise
-            out.write(jvm.java.lang.String(json.dumps(changes) + "\n").getBytes("UTF-8"))
-            out.close()
+                self._log.create(self._n + 1, json.dumps(changes))
+            except LostRace:
+                continue
             self._refresh()
             return result
         raise RuntimeError("the ledger is written by others all the time")

@@ -18,13 +18,17 @@ NOTHING_PINNED = 2**63 - 1
 MOST_PINS = 10_000
 
 
+def _dead() -> Column:
+    return F.coalesce(F.col("tombstone"), F.lit(False))
+
+
 def union_tiers(tiers: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tiers)
 
 
 def merge_newest(tiers: list[DataFrame]) -> DataFrame:
     """Newest version per key over tiers (key, value, seq, tombstone, level); of equal seqs the newer tier (smaller level)."""
-    order = F.struct(F.col("seq").alias("seq"), (-F.col("level")).alias("n"), F.col("tombstone").alias("tombstone"), F.col("value").alias("value"))
+    order = F.struct(F.col("seq").alias("seq"), (-F.col("level")).alias("n"), _dead().alias("tombstone"), F.col("value").alias("value"))
     merged = union_tiers(tiers).groupBy("key").agg(F.max(order).alias("v"))
     return merged.select("key", "v.value", "v.seq", "v.tombstone", (-F.col("v.n")).cast("tinyint").alias("level"))
 
@@ -44,7 +48,7 @@ def band(pins: list[int]) -> Column:
 def retain(log: DataFrame, pins: list[int]) -> DataFrame:
     """Versions that a pinned snapshot or the present sees: the newest of each key and band, by one hash-partitioned
     aggregation with map-side combine (no window over a key's versions)."""
-    order = F.struct(F.col("seq").alias("seq"), F.col("tombstone").alias("tombstone"), F.col("value").alias("value"))
+    order = F.struct(F.col("seq").alias("seq"), _dead().alias("tombstone"), F.col("value").alias("value"))
     kept = log.groupBy("key", band(pins).alias("band")).agg(F.max(order).alias("v"))
     return kept.select("key", "v.value", "v.seq", "v.tombstone")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from verslog.functions.keys import prefix_bound
+from verslog.commits import CommitLog, LostRace
 from verslog.operators import bloom, index, merge, resolve, scan, ttl, txn
 from verslog.operators.families import check_name
 from verslog.operators.index import KeyFn
@@ -56,10 +56,6 @@ class TxnTooLarge(StoreError):
     pass
 
 
-class LostRace(Exception):
-    """Another writer made the next manifest."""
-
-
 @dataclass(frozen=True)
 class Config:
     """Thresholds and codecs; memory is the tier of small, just written runs."""
@@ -113,7 +109,7 @@ class Store:
         self.spark, self.folder, self.config, self.read_only = spark, folder.rstrip("/"), config or Config(), read_only
         self._Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._Path(self.folder + "/manifests"))
+        self._log = CommitLog(spark, self.folder + "/manifests")
         self._schema = StructType.fromDDL(_ROW)
         self._pins: list[Snapshot] = []
         self._indexes: dict[str, KeyFn] = {}
@@ -123,14 +119,8 @@ class Store:
     # --- manifests and runs ------------------------------------------------------------------------------------------
 
     def _newest_manifest(self) -> Manifest:
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._Path(self.folder + "/manifests")) if s.getPath().getName().endswith(".json"))
-        for name in reversed(names):
-            stream = self._fs.open(self._Path(f"{self.folder}/manifests/{name}"))
-            try:
-                text = bytes(stream.readAllBytes()).decode()
-            finally:
-                stream.close()
-            if text.endswith("\n"):  # else its writer died or is still writing
+        for n in reversed(self._log.numbers()):
+            if (text := self._log.read(n)) is not None:
                 raw = json.loads(text)
                 return Manifest(**(raw | {"runs": [Run(**r) for r in raw["runs"]]}))
         return Manifest()
@@ -139,18 +129,6 @@ class Store:
         self.manifest = self._newest_manifest()
         return self.manifest
 
-    def _publish(self, m: Manifest) -> None:
-        at = self._Path(f"{self.folder}/manifests/{m.version:020d}.json")
-        try:
-            out = self._fs.create(at, False)
-        except Exception as e:
-            if "already exists" in str(e) or "AlreadyExists" in str(e):
-                raise LostRace from e
-            raise
-        out.write(self.spark.sparkContext._jvm.java.lang.String(json.dumps(asdict(m)) + "\n").getBytes("UTF-8"))
-        out.close()
-        self.manifest = m
-
     def _commit(self, change) -> Manifest:
         """change(newest manifest) gives the next one."""
         self._writable()
@@ -159,9 +137,10 @@ class Store:
             nxt = change(Manifest(**(asdict(now) | {"runs": list(now.runs), "families": list(now.families)})))
             nxt.version = now.version + 1
             try:
-                self._publish(nxt)
+                self._log.create(nxt.version, json.dumps(asdict(nxt)))
             except LostRace:
                 continue
+            self.manifest = nxt
             return nxt
         raise StoreError("other writers commit all the time")
 
@@ -196,8 +175,8 @@ class Store:
     def write(self, ops: DataFrame, order: list[str] | None = None, family: str = "", txn_id: int = 0) -> int:
         """One commit of many operations (key, value, tombstone), a sequence number each, in the given order (the default
         takes any order, which is enough if keys are distinct). A later operation on the same key wins. Returns the last seq."""
-        rows = self._rows(ops, family, DATA)
-        rows = number_rows(rows.withColumns({f"__o{i}": ops[c] for i, c in enumerate(order)}), [F.col(f"__o{i}") for i in range(len(order))], "n") if order else number_rows(rows, [F.col("key")], "n")
+        marks = {f"__o{i}": F.col(c) for i, c in enumerate(order or ["key"])}
+        rows = number_rows(self._rows(ops.withColumns(marks), family, DATA), [F.col(c) for c in marks], "n")
         return self._append(rows.withColumn("txn_id", F.lit(txn_id).cast("long")))
 
     def _rows(self, ops: DataFrame, family: str, kind: str) -> DataFrame:
@@ -358,7 +337,7 @@ class Store:
         after = rows.select("key", "value", "tombstone")
         for name, fn in self._indexes.items():
             held = self.index(name).join(after.select(F.col("key").alias("k")), F.col("pk") == F.col("k"), "left_semi")
-            want = after.where("not tombstone").select(F.col("key").alias("pk"), F.explode(F.array_distinct(fn(F.col("key"), F.col("value")))).cast("binary").alias("index_key")).where("index_key is not null")
+            want = after.where("not tombstone").select(F.col("key").alias("pk"), F.explode(F.array_distinct(fn(F.col("key"), F.col("value")).cast("array<binary>"))).alias("index_key")).where("index_key is not null")
             both = held.select("pk", "index_key", F.lit(-1).alias("s")).unionByName(want.select("pk", "index_key", F.lit(1).alias("s"))).groupBy("pk", "index_key").agg(F.sum("s").alias("s")).where("s <> 0")
             rows = rows.select(*[c for c in self._schema.fieldNames() if c != "n"]).unionByName(self._entry_rows(name, both.withColumn("change", F.when(F.col("s") > 0, "ADD").otherwise("REMOVE"))).select(*[c for c in self._schema.fieldNames() if c != "n"]))
         return self._append(number_rows(rows, [F.col("kind"), F.col("key"), F.col("value")], "n"))
