@@ -93,25 +93,16 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each size from 1 to capacity, no window over capacity, with few windows.
 
-    The count starts at the least that can do and rises in growing steps until everything fits, then the last step is
-    searched for the smallest count that fits as well."""
+    The count starts at the least that can do. While a window is over the capacity it rises in proportion to the fullest
+    one, at least by one."""
     if not len(sizes):
         return np.zeros(0, dtype=np.int64)
-    low = max(-(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()), 1)
-    k, step, below = low, 1, low - 1
+    k = max(-(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()), 1)
     while True:
         window, sums = differencing(sizes, k)
         if sums.max() <= capacity:
-            break
-        below, k, step = k, min(k + step, len(sizes)), step * 2
-    while k - below > 1:
-        mid = (k + below) // 2
-        w, sums = differencing(sizes, mid)
-        if sums.max() <= capacity:
-            window, k = w, mid
-        else:
-            below = mid
-    return window
+            return window
+        k = min(max(k + 1, int(k * sums.max() / capacity)), len(sizes))
 
 
 def pack(df: DataFrame, item: str, tokens: str, capacities: dict[int, int], shards: int | None = None) -> DataFrame:
