@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -99,15 +100,18 @@ def abbreviation(text: str, start: int, end: int) -> str:
 
 def script_of(text: str) -> str:
     """ja, zh, th, hi or de for texts of which these scripts or German words make up a good part, else an empty string."""
-    count = lambda p: len(regex.findall(p, text))
-    letters = max(1, count(r"\p{L}"))
-    if (han := count(r"\p{Han}")) + (kana := count(r"[\p{Hiragana}\p{Katakana}]")) > 0.3 * letters:
-        return "ja" if kana > 0.1 * (han + kana) else "zh"
-    if count(r"\p{Thai}") > 0.3 * letters:
-        return "th"
-    if count(r"\p{Devanagari}") > 0.3 * letters:
-        return "hi"
-    words = [w.lower() for w in _WORD.findall(text)]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    wide = codes[codes >= 0x900]
+    share = 0.3 * (np.count_nonzero((codes | 32) - 97 < 26) + np.count_nonzero((codes >= 0xC0) & (codes < 0x900)) + len(wide))
+    within = lambda low, high: np.count_nonzero((wide >= low) & (wide < high))
+    if len(wide) > share:
+        if (han := within(0x3400, 0xA000) + within(0x20000, 0x32000)) + (kana := within(0x3040, 0x3100)) > share:
+            return "ja" if kana > 0.1 * (han + kana) else "zh"
+        if within(0xE00, 0xE80) > share:
+            return "th"
+        if within(0x900, 0x980) > share:
+            return "hi"
+    words = _WORD.findall(text.lower())
     return "de" if sum(w in GERMAN for w in words) > sum(w in OTHER for w in words) else ""
 
 
