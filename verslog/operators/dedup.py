@@ -19,7 +19,7 @@ from verslog.session import discard, scratch
 #: Numbers of a producer that one group holds.
 BUCKET = 1 << 16
 
-_STEP = "producer string, bucket long, number long, last long, digest long, digests binary, first long, kind tinyint"
+_STEP = "producer string, bucket long, number long, last long, digest long, digests binary, first long, odd boolean, kind tinyint"
 
 
 def merge_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,10 +34,11 @@ def merge_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _accept(own: pa.Table, seen: pa.Table) -> pa.Table:
     """Numbers of one (producer, bucket) against its seen ranges: kind 0 is a number of this batch with the digest that holds
-    it (``first`` set if it was uncovered and its message is accepted), kind 1 a range of the new state."""
-    number, digest, first = (own.column(c).to_numpy() for c in ("number", "digest", "first"))
+    it (``first`` set if it was uncovered and its message is accepted, ``odd`` if messages with other digests came too), kind 1
+    a range of the new state."""
+    number, digest, first, least, most = (own.column(c).to_numpy() for c in ("number", "digest", "first", "least", "most"))
     order = np.argsort(number, kind="stable")
-    number, digest, first = number[order], digest[order], first[order]
+    number, digest, first, least, most = (x[order] for x in (number, digest, first, least, most))
     seen = seen.sort_by("number")
     lo, hi = seen.column("number").to_numpy(), seen.column("last").to_numpy()
     held = [np.frombuffer(x, dtype="<i8") for x in seen.column("digests").to_pylist()]
@@ -66,6 +67,7 @@ def _accept(own: pa.Table, seen: pa.Table) -> pa.Table:
             "digest": np.concatenate([holder, np.zeros(r, dtype=np.int64)]),
             "digests": pa.array([None] * k + [all_d[a:b].astype("<i8").tobytes() for a, b in zip(*cut)], pa.binary()),
             "first": pa.array(np.concatenate([first, np.zeros(r, dtype=np.int64)]), mask=np.concatenate([covered, ~nothing])),
+            "odd": np.concatenate([(least != holder) | (most != holder), nothing]),
             "kind": np.repeat(np.array([0, 1], dtype=np.int8), [k, r]),
         }
     )
@@ -89,20 +91,23 @@ class SeenRanges:
         P, N, I = self.producer, self.number, self.identity
         names = [f"__i{i}" for i in range(len(I))]
         rows = batch.select(F.col(P).cast("string").alias("producer"), F.col(N).cast("long").alias("number"), *[F.col(c).alias(n) for c, n in zip(I, names)], F.col(self.order).cast("long").alias("first"))
-        # Copies are counted out before the shuffle: one row per identifier and task.
-        once = rows.groupBy("producer", "number", *names).agg(F.min("first").alias("first")).withColumn("digest", row_hash(*[F.col(n) for n in names]))
-        numbered = F.col("producer").isNotNull() & F.col("number").isNotNull()
-        own = once.where(numbered).groupBy("producer", "number").agg(F.min_by("digest", "first").alias("digest"), F.min("first").alias("first"))
-        own = own.select("producer", F.floor(F.col("number") / self.bucket).alias("bucket"), "number", "digest", "first")
+        rows = rows.withColumn("digest", row_hash(*[F.col(n) for n in names]))
+        # Copies are counted out before the shuffle: a number is one row of longs per task, whatever its identifiers hold.
+        own = rows.dropna(subset=["producer", "number"]).groupBy("producer", "number")
+        own = own.agg(F.min_by("digest", "first").alias("digest"), F.min("first").alias("first"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+        own = own.withColumn("bucket", F.floor(F.col("number") / self.bucket))
         none = self.spark.createDataFrame([], _STEP)
         state = (none if self._state is None else self._state).select("producer", "bucket", "number", "last", "digests")
         step = own.groupBy("producer", "bucket").cogroup(state.groupBy("producer", "bucket")).applyInArrow(_accept, _STEP)
         at = scratch(self.spark, "seen")
         step.write.partitionBy("kind").parquet(f"{at}/step")
         said = self.spark.read.schema(_STEP).parquet(f"{at}/step")
-        numbers = said.where("kind = 0").select(F.col("producer").alias("p"), F.col("number").alias("n"), F.col("digest").alias("d"), "first")
-        # A malformed identifier is one that its number, if it has any, doesn't stand for. One row per identifier on both sides.
-        odd = once.join(numbers, (F.col("producer") == F.col("p")) & (F.col("number") == F.col("n")) & (F.col("digest") == F.col("d")), "left_anti")
+        numbers = said.where("kind = 0")
+        # A malformed identifier has no number, or one that stands for another identifier. Few numbers are odd, so their
+        # messages are found without shuffling the batch.
+        held = numbers.where("odd").select(F.col("producer").alias("p"), F.col("number").alias("n"), F.col("digest").alias("d"))
+        clash = rows.join(held, (F.col("producer") == F.col("p")) & (F.col("number") == F.col("n")) & (F.col("digest") != F.col("d"))).drop("p", "n", "d")
+        odd = clash.unionByName(rows.where("producer is null or number is null")).groupBy("producer", "number", *names).agg(F.min("first").alias("first"))
         if self._malformed is not None:
             before = self._malformed.select(*[F.col(c).alias(f"b{c}") for c in ("producer", "number", *names)])
             odd = odd.join(before, [F.col(c).eqNullSafe(F.col(f"b{c}")) for c in ("producer", "number", *names)], "left_anti")
