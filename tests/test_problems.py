@@ -215,6 +215,9 @@ def test_feed_edge_cases(spark):
     assert newest_first(effective_changes(empty), ["store", "key"]).count() == 0
     hot = [("s", 0, n, 0, "hot", str(n), False) for n in range(3000)] + [("s", 1, 3000, 0, "hot", None, True)]
     assert newest_first(effective_changes(spark.createDataFrame(hot, FEED)), ["store", "key"]).count() == 0
+    unnumbered = spark.createDataFrame([("s", 0, None, 0, "a", "1", False), ("s", 0, None, 0, "b", "1", False), ("s", 1, None, 0, "b", None, None), ("s", 0, None, 0, "c", "1", False), ("s", 1, 5, 0, "c", None, None)], FEED)
+    for keep in ([], ["value"]):
+        assert rows(newest_first(effective_changes(unnumbered), ["store", "key"], keep=keep).select("key", "seq")) == [("a", None)]
     one = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "key string, seq long")
     assert rows(latest_by_window(one, ["key"])) == [("a", 2), (None, 3)]
 

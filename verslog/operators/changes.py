@@ -11,6 +11,8 @@ from verslog.session import materialize
 #: Kinds of log records.
 PUT, DELETE, BEGIN, COMMIT, ABORT = 0, 1, 2, 3, 4
 
+_NO_SEQ = -(2**61)
+
 
 def effective_changes(feed: DataFrame, scope: str = "store", salts: int = 8) -> DataFrame:
     """Puts and deletes of a feed that count, with a column ``deleted``.
@@ -30,16 +32,16 @@ def effective_changes(feed: DataFrame, scope: str = "store", salts: int = 8) ->
     return changes.where(outside).unionByName(inside)
 
 
-def newest_first(changes: DataFrame, keys: list[str], seq: str = "seq", deleted: str = "deleted", base: DataFrame | None = None, batches: int = 3, keep: list[str] | None = None) -> DataFrame:
+def newest_first(changes: DataFrame, keys: list[str], seq: str = "seq", deleted: str = "deleted", base: DataFrame | None = None, batches: int = 3, keep: list[str] | None = None, cuts: list[int] | None = None) -> DataFrame:
     """Current rows (keys, seq, keep...) after all changes, resolved from the newest batch of the feed back to the oldest.
 
-    changes: any order, repeats allowed. The feed is cut at quantiles of ``seq``; each batch is first reduced to the newest
-    change per key, then keys that a later batch resolved are dropped (anti-join), and what remains is recorded as an image
-    or a tombstone. Base rows whose keys no change touched come last. Of changes with equal key and seq a delete wins, then
+    changes: any order, repeats allowed. The feed is cut into batches at ``cuts`` (the default: quantiles of ``seq``); each is
+    first reduced to the newest change per key, then, from the newest batch back, keys that a later batch resolved are
+    dropped (anti-join), and what remains is recorded as an image or a tombstone. Base rows whose keys no change touched come last. Of changes with equal key and seq a delete wins, then
     the largest image. Changes with a null seq are older than all others. Null keys are keys like others here (effective_changes drops them).
 
     Reduction before the shuffle makes a hot key one row per task and batch, and the anti-join meets each key once, so neither
-    is skewed. Older batches shrink as keys get resolved. Resolved keys are written to the shared folder after each batch.
+    is skewed. Reduced batches and resolved keys are written to the shared folder.
     """
     keep = keep or []
     # A struct keeps nulls of the image; false sorts below true, so the delete wins a tie.
@@ -48,28 +50,28 @@ def newest_first(changes: DataFrame, keys: list[str], seq: str = "seq", deleted:
         newest: Column = F.max(order)
         parts = [F.col("m.s").alias(seq), F.col("m.d").alias("__deleted"), *[F.col(f"m.v{i}").alias(c) for i, c in enumerate(keep)]]
     else:  # one long holds both and stays in a hash aggregate
-        newest = F.max(F.col(seq) * 2 + F.col(deleted).cast("long"))
-        parts = [F.shiftright("m", 1).alias(seq), (F.col("m") % 2 != 0).alias("__deleted")]
-    cuts = changes.agg(F.percentile_approx(seq, [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    bounds = [(a, b) for a, b in zip([*cuts, None], [None, *cuts])]  # newest first: seq in [a, b)
+        newest = F.max(F.coalesce(F.col(seq), F.lit(_NO_SEQ)) * 2 + F.col(deleted).cast("long"))
+        parts = [F.nullif(F.shiftright("m", 1), F.lit(_NO_SEQ)).alias(seq), (F.col("m") % 2 != 0).alias("__deleted")]
+    cuts = sorted(set(cuts if cuts is not None else seq_cuts(changes, seq, batches) if batches > 1 else []))
+    # Batch 0 is the oldest and has the null seqs. All batches are reduced in one pass over the feed.
+    band = F.lit(0)
+    for c in cuts:
+        band = band + F.coalesce((F.col(seq) >= c).cast("int"), F.lit(0))
+    reduced = changes.groupBy(*keys, band.alias("__band")).agg(newest.alias("m")).select(*keys, "__band", *parts)
+    if cuts:
+        reduced = materialize(reduced, "batches", "__band")
     resolved: DataFrame | None = None
 
     def untouched(df: DataFrame, other: DataFrame) -> DataFrame:
         named = other.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)])
         return df.join(named, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)], "left_anti")
 
-    for low, high in bounds:
-        here = F.lit(True)
-        if low is not None:
-            here = here & (F.col(seq) >= low)
-        if high is not None:
-            here = here & ((F.col(seq) < high) if low is not None else ((F.col(seq) < high) | F.col(seq).isNull()))
-        part = changes.where(here).groupBy(*keys).agg(newest.alias("m")).select(*keys, *parts)
+    for b in range(len(cuts), -1, -1):
+        part = reduced.where(F.col("__band") == b).drop("__band")
         if resolved is not None:
             part = untouched(part, resolved)
-        if (low, high) != bounds[-1]:
-            part = materialize(part, "resolved")
+            if b > 0:
+                part = materialize(part, "resolved")
         resolved = part if resolved is None else resolved.unionByName(part)
     current = resolved.where("not __deleted").drop("__deleted")
     if base is not None:
@@ -77,6 +79,11 @@ def newest_first(changes: DataFrame, keys: list[str], seq: str = "seq", deleted:
     return current
 
 
+def seq_cuts(feed: DataFrame, seq: str = "seq", batches: int = 3) -> list[int]:
+    """Quantiles of seq that cut a feed into batches of about equal size; from one column of the whole feed."""
+    return feed.agg(F.percentile_approx(seq, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+
+
 def latest_by_window(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """Newest whole row per key, for tables in which every column has to survive."""
     return changes.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(seq).desc()))).where("__r = 1").drop("__r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verslog.operators.changes import effective_changes, newest_first
+from verslog.operators.changes import effective_changes, newest_first, seq_cuts
 from verslog.operators.dedup import drop_repeats
 from verslog.operators.diff import diff_copies
 from verslog.operators.ledger import item_states, settle_leases
@@ -61,12 +61,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Live keys of every store after all changes of the feed."""
-    return newest_first(effective_changes(_read(spark, sf, "wal_log")), ["store", "key"])
+    feed = _read(spark, sf, "wal_log")
+    return newest_first(effective_changes(feed), ["store", "key"], cuts=seq_cuts(feed))
 
 
 def p5_images(spark: SparkSession, sf: str) -> DataFrame:
     """Live keys of every store with their value."""
-    return newest_first(effective_changes(_read(spark, sf, "wal_log")), ["store", "key"], keep=["value"])
+    feed = _read(spark, sf, "wal_log")
+    return newest_first(effective_changes(feed), ["store", "key"], keep=["value"], cuts=seq_cuts(feed))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,9 +56,9 @@ def discard(spark: SparkSession, at: str) -> None:
     fs.delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     at = scratch(spark, name)
-    df.write.parquet(at)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
