@@ -223,6 +223,12 @@ def test_paragraphs_headings_and_speakers():
     assert cut("(Zuruf: Nein!) Zum zweiten Punkt:\ndie Opposition lehnt das ab.") == ["(Zuruf: Nein!)", "Zum zweiten Punkt:\ndie Opposition lehnt das ab."]
 
 
+def test_blanks_missing_and_passages_in_other_scripts():
+    assert cut("I know well.von Krom objected.The end etc.Next at 5 p.m.(Applause.)Show 4.5.2025.Mrs. Vell, vol.2, H.W.C. board.") == ["I know well.", "von Krom objected.", "The end etc.", "Next at 5 p.m.", "(Applause.)", "Show 4.5.2025.", "Mrs. Vell, vol.2, H.W.C. board."]
+    assert cut("予算は55.\n2億円です。次に、政府は灯台の費用を説明しておりません。委員会は修正を認めません。Ein Würfel wiegt 5 Gramm in Öl.(Beifall.)\nWie viel wiegt er?次に、Dr. Krom です。") == ["予算は55.\n2億円です。", "次に、政府は灯台の費用を説明しておりません。", "委員会は修正を認めません。", "Ein Würfel wiegt 5 Gramm in Öl.", "(Beifall.)", "Wie viel wiegt er?", "次に、Dr. Krom です。"]
+    assert cut("मुद्दा है| One paper: “It fell. So.”. दूसरी बात यह है।") == ["मुद्दा है|", "One paper: “It fell. So.”.", "दूसरी बात यह है।"]
+
+
 @pytest.mark.parametrize("text", ["", " ", "\n\n", " \t", None])
 def test_blank_texts_have_no_unit(text):
     assert sentences.unit_ends(text) == []

@@ -68,6 +68,7 @@ _RUN = rf"[{regex.escape(_STOPS)}]+(?:[   ]?[!?…।॥]+)*"
 _MARK = regex.compile(rf"({_RUN})|([{regex.escape(_OPENING + _CLOSING)}])|(\n)|({THAI_ENDS})")
 _BLANK = regex.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*")
 _EDGE = regex.compile(r"\S(?:.*\S)?", regex.DOTALL)
+_LATIN = regex.compile(r"\p{Latin}")
 _WORD = regex.compile(r"\p{L}+")
 _SPACE = regex.compile(r"\s*")
 
@@ -260,10 +261,22 @@ class Automaton:
             if script in ("ja", "zh"):
                 return None if text.startswith(GO_ON[script], at) else b
             return None if script in ("th", "hi") or at == b or not self._begins(at, stop) or not nxt.isupper() and nxt not in _OPENING + "¿¡" and not nxt.isdigit() and not nxt.islower() else b
-        if script in ("ja", "zh", "th", "hi"):  # no stop of these scripts, but quotations in others bring theirs along
-            return b if text[a - 1] in _QUOTE_ENDS else None
+        if script in ("ja", "zh", "th", "hi"):  # no stop of these scripts, but passages in others bring theirs along
+            if text[a - 1] in _QUOTE_ENDS:
+                return b
+            if not _LATIN.match(text, a - 1) and not (at > b and text[a - 1].isdigit() and not nxt.isdigit()):
+                return None
         return b if self._full_stop(unit, a, b, at, stop) else None
 
+    def _joined(self, word: str, kind: str, at: int, stop: int) -> bool:
+        """Whether a blank is missing after a stop that isn't inside a number, a name or an abbreviation."""
+        nxt = self.text[at]
+        if word.replace(".", "").isdigit() or kind == "maybe":
+            return nxt.isupper()
+        if kind or "." in word or len(word) < 2 or not word[-1].islower():
+            return False
+        return (nxt.isdigit() and len(word) > 2) or (nxt.isalpha() and self._begins(at, stop))
+
     def _full_stop(self, unit: int, a: int, b: int, at: int, stop: int) -> bool:
         text, nxt = self.text, self.text[at]
         if nxt in ",;:":
@@ -272,13 +285,12 @@ class Automaton:
         while low > unit and (text[low - 1].isalnum() or text[low - 1] in ".-§"):
             low -= 1
         word = text[low:a].lstrip(".")
-        kind = abbreviation(text, unit, a)
-        if at == b:  # a blank is missing, or the stop is inside a number or an abbreviation
-            if not (nxt.isupper() or nxt in _OPENING) or "." in word or len(word) < 2 or kind:
-                return False
-            return word[-1].islower() or (word.isdigit() and not nxt.isalpha())
-        if word.replace(".", "").isdigit():
-            if word.isdigit() and (low == unit or (self.script == "de" and len(word) < 4)):
+        kind = "" if len(word) == 1 and word.isupper() and word not in "MD" else abbreviation(text, unit, a)
+        opens, number = nxt in _OPENING, word.replace(".", "").isdigit()
+        if at == b and not opens and not self._joined(word, kind, at, stop):
+            return False
+        if number:
+            if word.isdigit() and (low == unit or text[max(unit, low - 4) : low] == "TOP " or (self.script == "de" and len(word) < 4)):
                 return False
             return not nxt.islower() or self._begins(at, stop)
         if kind == "always":
