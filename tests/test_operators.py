@@ -76,6 +76,15 @@ def test_asof_follows_the_model(spark, cell):
     assert rows(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("cell", [7, 1 << 16])
+def test_history(spark, cell):
+    versions, want = random_log(), []
+    for k in {v[0] for v in versions}:
+        seqs = [s for key, _, s, _ in versions if key == k]
+        want += [(k, s, p, n) for p, s, n in zip([None, *seqs], seqs, [*seqs[1:], None])]
+    assert rows(resolve.history(log(spark, versions), cell)) == sorted(want, key=repr)
+
+
 # --- scans -----------------------------------------------------------------------------------------------------------
 
 

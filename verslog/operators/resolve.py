@@ -83,7 +83,13 @@ def asof(log: DataFrame, probes: DataFrame, columns: list[str] | None = None, ce
     return seen.select("key", F.col("pos").alias("at"), *[F.col(f"p.{c}").alias(c) for c in extra], F.col("f.seq").alias("found_seq"), F.col("f.tombstone").alias("found_tombstone"), *[F.col(f"f.{c}").alias(f"found_{c}") for c in columns])
 
 
-def history(log: DataFrame) -> DataFrame:
-    """Each version with the seq before and after it under its key (a cursor's previous and next)."""
-    w = W.partitionBy("key").orderBy("seq")
-    return log.select("key", "seq", F.lag("seq").over(w).alias("prev_seq"), F.lead("seq").over(w).alias("next_seq"))
+def history(log: DataFrame, cell: int = CELL) -> DataFrame:
+    """Each version with the seq before and after it under its key (a cursor's previous and next). Windows go over cells of
+    sequence numbers, and the ends of neighbouring cells are carried in, so a hot key is many tasks."""
+    rows = log.select("key", "seq", F.floor(F.col("seq") / cell).alias("cell"))
+    order = W.partitionBy("key").orderBy("cell")
+    ends = rows.groupBy("key", "cell").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
+    ends = ends.select(F.col("key").alias("k"), F.col("cell").alias("c"), F.lag("high").over(order).alias("before"), F.lead("low").over(order).alias("after"))
+    w = W.partitionBy("key", "cell").orderBy("seq")
+    inside = rows.select("key", "cell", "seq", F.lag("seq").over(w).alias("p"), F.lead("seq").over(w).alias("n"))
+    return inside.join(ends, F.col("key").eqNullSafe(F.col("k")) & F.col("cell").eqNullSafe(F.col("c"))).select("key", "seq", F.coalesce("p", "before").alias("prev_seq"), F.coalesce("n", "after").alias("next_seq"))

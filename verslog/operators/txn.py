@@ -19,9 +19,10 @@ def checksum(*columns: Column) -> Column:
 
 
 def intact_prefix(log: DataFrame, seq: str, good: Column) -> DataFrame:
-    """The log before its first bad record (``good`` false or NULL): a torn tail is cut off."""
-    bad = log.where(~F.coalesce(good, F.lit(False))).agg(F.min(seq).alias("__cut"))
-    return log.join(F.broadcast(bad), F.col("__cut").isNull() | (F.col(seq) < F.col("__cut")), "inner").drop("__cut")
+    """The log before its first bad record (``good`` false or NULL): a torn tail is cut off. The cut is one number, found first,
+    and then a bound that the scan skips row groups by."""
+    cut = log.where(~F.coalesce(good, F.lit(False))).agg(F.min(seq)).first()[0]
+    return log if cut is None else log.where(F.col(seq) < cut)
 
 
 def replay(log: DataFrame, scope: list[str], salts: int = 8) -> DataFrame:

@@ -27,8 +27,8 @@ def ring_since(log: DataFrame, after: int, capacity: int = RING) -> DataFrame:
 
 def resync_needed(log: DataFrame, followers: DataFrame, capacity: int = RING) -> DataFrame:
     """(follower, last_seq, resync): whether records that a follower lacks have left the ring, so that it needs a backup."""
-    low = ring(log, capacity).agg(F.min("seq").alias("low"))
-    return followers.join(F.broadcast(low), F.lit(True)).select("follower", "last_seq", F.coalesce(F.col("last_seq") < F.col("low") - 1, F.lit(False)).alias("resync"))
+    low = ring(log, capacity).agg(F.min("seq")).first()[0]
+    return followers.select("follower", "last_seq", F.coalesce(F.col("last_seq") < F.lit(low) - 1, F.lit(False)).alias("resync"))
 
 
 def data_records(shipped: DataFrame) -> DataFrame:
