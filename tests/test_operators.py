@@ -101,6 +101,23 @@ def test_scan_options(spark):
         scan.prefix_scan(df, "")
 
 
+def test_cursor_and_neighbours(spark):
+    df = log(spark, [(k, k, i, False) for i, k in enumerate("dbca")])
+    c = scan.Cursor(scan.scan(df, Scan()))
+    seen = [c.row.key]
+    while c.next():
+        seen.append(c.row.key)
+    assert seen == list("abcd") and not c.valid and not c.next()
+    assert c.prev() and c.row.key == "d" and c.prev() and c.row.key == "c" and c.next() and c.row.key == "d"
+    short = scan.Cursor(scan.scan(df, Scan()), back=1)
+    assert short.next() and short.next() and short.row.key == "c" and short.prev() and short.row.key == "b" and not short.prev() and short.next() and short.next() and short.next() and short.row.key == "d"
+    empty = scan.Cursor(scan.scan(df.where("false"), Scan()))
+    assert not empty.valid and not empty.prev()
+    with pytest.raises(IndexError):
+        empty.row
+    assert rows(scan.neighbours(df)) == [("a", None, "b"), ("b", "a", "c"), ("c", "b", "d"), ("d", "c", None)]
+
+
 @pytest.mark.parametrize("prefix, bound", [(b"a", b"b"), (b"a\xff", b"b"), (b"\xff\xff", None), (b"", None), (b"a\x00", b"a\x01"), ("a", "b"), ("퟿", ""), ("a\U0010ffff", "b"), ("\U0010ffff", None)])
 def test_prefix_bound(prefix, bound):
     assert K.prefix_bound(prefix) == bound

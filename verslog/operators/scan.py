@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verslog.functions.keys import prefix_bound
+from verslog.operators.order import number_rows
 from verslog.operators.resolve import newest
 
 
@@ -51,6 +53,50 @@ def scan(log: DataFrame, spec: Scan, deadlines: DataFrame | None = None, ordered
     return rows if spec.limit is None else rows.limit(spec.limit)
 
 
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(key, prev_key, next_key) for rows of distinct keys: where a cursor on each key moves to. Rows are numbered over ranges of
+    keys and meet their neighbours by number."""
+    n = number_rows(rows.select("key"), [F.col("key")], "n")
+    both = n.select(F.col("n").alias("at"), F.struct(F.lit(0).alias("side"), F.col("key").alias("key")).alias("x"))
+    both = both.unionByName(n.select((F.col("n") + 1).alias("at"), F.struct(F.lit(-1).alias("side"), F.col("key").alias("key")).alias("x")))
+    both = both.unionByName(n.select((F.col("n") - 1).alias("at"), F.struct(F.lit(1).alias("side"), F.col("key").alias("key")).alias("x")))
+    pick = lambda side: F.max(F.when(F.col("x.side") == side, F.col("x.key")))
+    return both.groupBy("at").agg(pick(0).alias("key"), pick(-1).alias("prev_key"), pick(1).alias("next_key"), F.count_if(F.col("x.side") == 0).alias("own")).where("own > 0").select("key", "prev_key", "next_key")
+
+
+class Cursor:
+    """Steps through an ordered scan row by row, a partition at a time on the driver. ``prev`` goes back over the last ``back``
+    rows, which are all that is kept."""
+
+    def __init__(self, rows: DataFrame, back: int = 1000):
+        self._source, self._kept, self._at, self._over = rows.toLocalIterator(prefetchPartitions=True), deque(maxlen=back + 1), -1, False
+        self.next()
+
+    @property
+    def valid(self) -> bool:
+        return 0 <= self._at < len(self._kept)
+
+    @property
+    def row(self):
+        if not self.valid:
+            raise IndexError("the cursor is beyond the scan")
+        return self._kept[self._at]
+
+    def next(self) -> bool:
+        if self._at + 1 >= len(self._kept) and not self._over:
+            if (row := next(self._source, None)) is None:
+                self._over = True
+            else:
+                self._kept.append(row)
+                self._at = len(self._kept) - 2
+        self._at = min(self._at + 1, len(self._kept))
+        return self.valid
+
+    def prev(self) -> bool:
+        self._at = max(self._at - 1, -1)
+        return self.valid
+
+
 def prefix_scan(log: DataFrame, prefix: str | bytes, **options) -> DataFrame:
     if not prefix:
         raise ValueError("the prefix is empty")

@@ -163,6 +163,12 @@ def scan_with_tombstones(spark, sf):
     return scan.scan(L.event_log(spark, sf), scan.Scan(tombstones=True))
 
 
+@query(_LOG + _newest("log", "c") + "SELECT key, lag(key) OVER (ORDER BY key) AS prev_key, lead(key) OVER (ORDER BY key) AS next_key FROM c WHERE NOT tombstone")
+def cursor_neighbours(spark, sf):
+    """Where a cursor on each live key moves to."""
+    return scan.neighbours(resolve.live(L.event_log(spark, sf)))
+
+
 @query("""SELECT DISTINCT hex(key) AS key FROM (SELECT key FROM entries UNION ALL SELECT key FROM incoming_entries)
 WHERE starts_with(hex(key), '0074746C00') OR starts_with(hex(key), '0069647800') OR hex(key) = '0063665F6D657461'""")
 def internal_key_filter(spark, sf):

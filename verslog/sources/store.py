@@ -152,7 +152,10 @@ class Store:
 
     def _write_run(self, rows: DataFrame, level: int) -> Run:
         path = f"runs/{uuid.uuid4().hex}"
-        rows.write.option("compression", self.config.codecs[level]).parquet(f"{self.folder}/{path}")
+        writer = rows.write.option("compression", self.config.codecs[level])
+        if level > merge.MEM:  # readers skip row groups whose filter lacks the key
+            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_rate))
+        writer.parquet(f"{self.folder}/{path}")
         written = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}")
         n, size = written.agg(F.count("*"), F.coalesce(F.sum(merge.entry_bytes(merge.MEM_OVERHEAD)), F.lit(0))).first()
         return Run(path, level, 0, n, size)
@@ -225,11 +228,17 @@ class Store:
     # --- reads -------------------------------------------------------------------------------------------------------
 
     def get(self, key: bytes, at: int | None = None, family: str = "", now_ns: int | None = None) -> bytes:
-        row = self.multi_get(self.spark.createDataFrame([(key,)], "key binary"), at, family, now_ns).first()
+        row = self._one(key, at, family, now_ns)
         if row.status == "FOUND":
             return bytes(row.value) if row.value is not None else None
         raise (KeyDeleted if row.status == "DELETED" else KeyNotFound)(key)
 
+    def _one(self, key: bytes, at: int | None = None, family: str = "", now_ns: int | None = None):
+        """Status of one key; the key and the bound on seq are literals that the scan prunes row groups by."""
+        log = self.log(family).where(F.col("key") == F.lit(key))
+        dead = self._deadlines(family, key) if now_ns is not None else None
+        return resolve.get_status(log, self.spark.createDataFrame([(key,)], "key binary"), at, dead, now_ns).first()
+
     def multi_get(self, wanted: DataFrame, at: int | None = None, family: str = "", now_ns: int | None = None) -> DataFrame:
         return resolve.get_status(self.log(family), wanted, at, self._deadlines(family) if now_ns is not None else None, now_ns)
 
@@ -284,8 +293,9 @@ class Store:
     def _ttl_log(self, family: str) -> DataFrame:
         return self._read(kind=TTL).where(F.col("family") == family)
 
-    def _deadlines(self, family: str) -> DataFrame:
-        return ttl.deadlines(self._ttl_log(family))
+    def _deadlines(self, family: str, key: bytes | None = None) -> DataFrame:
+        rows = self._ttl_log(family)
+        return ttl.deadlines(rows if key is None else rows.where(F.col("key") == F.lit(key)))
 
     def put_until(self, key: bytes, value: bytes, expire_at_ns: int, family: str = "") -> int:
         """Value and deadline in one commit."""
@@ -490,7 +500,7 @@ class Txn:
                 if v is None:
                     raise KeyDeleted(key)
                 return v
-        row = self.store.multi_get(self.store.spark.createDataFrame([(key,)], "key binary"), self.snap_seq).first()
+        row = self.store._one(key, self.snap_seq)
         self.reads.setdefault(key, row.seq or 0)
         if row.status != "FOUND":
             raise (KeyDeleted if row.status == "DELETED" else KeyNotFound)(key)
