@@ -249,7 +249,9 @@ def plain_positions(key, m, k):
     return [(h + i * g) % 2**64 % m for i in range(k)]
 
 
-def test_bloom_bits_are_exact(spark):
+@pytest.mark.parametrize("most", [1 << 29, 1])
+def test_bloom_bits_are_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(bloom, "MOST_BITS", most)
     assert bloom.size(1000, 0.01) == (9586, 7)
     keys = [b"", b"a", b"\xff" * 300, *[b"k%d" % i for i in range(200)]]
     assert bloom.positions(keys, 997, 5).tolist() == [plain_positions(k, 997, 5) for k in keys]

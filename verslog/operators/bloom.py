@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 FPR_TARGET, FPR_MIN, FPR_MAX = 0.01, 0.001, 0.05
 LEAST_QUERIES = 100
+#: Bits of a filter that a task puts together: 64 MB.
+MOST_BITS = 1 << 29
 
 
 def size(n: int, p: float) -> tuple[int, int]:
@@ -67,19 +69,48 @@ def build(rows: DataFrame, file: str, key: str, m: int, k: int) -> DataFrame:
 
     def words(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
             at = positions(_bytes(t.column("key")), m, k)
-            frame = pd.DataFrame({"file": np.repeat(np.array(t.column("file").to_pylist(), dtype=object), k), "word": (at >> 6).ravel(), "bits": (np.uint64(1) << (at & 63).astype(np.uint64)).ravel().view(np.int64)})
-            got = frame.groupby(["file", "word"])["bits"].agg(lambda x: np.bitwise_or.reduce(x.to_numpy())).reset_index()
-            yield pa.RecordBatch.from_pandas(got, schema=pa.schema([("file", pa.string()), ("word", pa.int64()), ("bits", pa.int64())]), preserve_index=False)
+            names = pc.unique(t.column("file"))
+            code = pc.index_in(t.column("file"), names).to_numpy().astype(np.int64)
+            place = (code[:, None] * ((m + 63) // 64) + (at >> 6)).ravel()
+            order = np.argsort(place, kind="stable")
+            place, bits = place[order], (np.uint64(1) << (at & 63).astype(np.uint64)).ravel()[order]
+            start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            which, word = np.divmod(place[start], (m + 63) // 64)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(which)).cast(pa.string()), pa.array(word), pa.array(np.bitwise_or.reduceat(bits, start).view(np.int64))], names=["file", "word", "bits"])
 
     made = rows.where(F.col(key).isNotNull()).select(F.col(file).cast("string").alias("file"), F.col(key).alias("key")).mapInArrow(words, "file string, word long, bits long")
     return made.groupBy("file", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def probe(filters: DataFrame, asked: DataFrame, m: int, k: int) -> DataFrame:
-    """(file, key) of asked rows (file, key) whose bits are all set in the file's filter: it may hold the key."""
+def probe(filters: DataFrame, asked: DataFrame, m: int, k: int, salts: int = 8) -> DataFrame:
+    """(file, key) of asked rows (file, key) whose bits are all set in the file's filter: it may hold the key. Null keys are in
+    no file, repeated rows are asked once.
 
+    A file's filter and its share of the keys meet in one group per file and salt, so the keys of a large file are several
+    tasks. Filters beyond MOST_BITS aren't put together: their words are joined with the keys' bits instead.
+    """
+    rows = asked.where("key is not null").select(F.col("file").cast("string").alias("file"), "key").distinct()
+    kind = dict(asked.dtypes)["key"]
+    if m > MOST_BITS:
+        return _probe_words(filters, rows, kind, m, k)
+
+    def test(keys: pa.Table, words: pa.Table) -> pa.Table:
+        flat = np.zeros((m + 63) // 64, dtype=np.uint64)
+        flat[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        at = positions(_bytes(keys.column("key")), m, k)
+        held = ((flat[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+        return keys.select(["file", "key"]).filter(pa.array(held))
+
+    keyed = rows.withColumn("salt", F.pmod(F.hash("key"), F.lit(salts)))
+    spread = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return keyed.groupBy("file", "salt").cogroup(spread.groupBy("file", "salt")).applyInArrow(test, f"file string, key {kind}")
+
+
+def _probe_words(filters: DataFrame, rows: DataFrame, kind: str, m: int, k: int) -> DataFrame:
     def spread(batches):
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -87,8 +118,6 @@ def probe(filters: DataFrame, asked: DataFrame, m: int, k: int) -> DataFrame:
             which = pa.array(np.repeat(np.arange(t.num_rows), k))
             yield pa.RecordBatch.from_arrays([t.column("file").combine_chunks().take(which), t.column("key").combine_chunks().take(which), pa.array((at >> 6).ravel()), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).ravel().view(np.int64))], names=["file", "key", "w", "b"])
 
-    kind = dict(asked.dtypes)["key"]
-    rows = asked.where("key is not null").select(F.col("file").cast("string").alias("file"), "key").distinct()
     bits = rows.mapInArrow(spread, f"file string, key {kind}, w long, b long")
     hit = bits.join(filters.withColumnRenamed("file", "f"), (F.col("file") == F.col("f")) & (F.col("w") == F.col("word")), "left")
     return hit.groupBy("file", "key").agg(F.bool_and(F.coalesce((F.col("bits").bitwiseAND(F.col("b"))) == F.col("b"), F.lit(False))).alias("maybe")).where("maybe").select("file", "key")
