@@ -215,6 +215,8 @@ def test_feed_edge_cases(spark):
     assert newest_first(effective_changes(empty), ["store", "key"]).count() == 0
     hot = [("s", 0, n, 0, "hot", str(n), False) for n in range(3000)] + [("s", 1, 3000, 0, "hot", None, True)]
     assert newest_first(effective_changes(spark.createDataFrame(hot, FEED)), ["store", "key"]).count() == 0
+    clash = spark.createDataFrame([("s", 0, 1, 0, "a", "1", False), ("s", 1, 2, 0, "b", "1", None)], FEED).withColumns({c: F.lit("clash") for c in ("deleted", "m", "__m", "n", "k")})
+    assert rows(newest_first(effective_changes(clash), ["store", "key"], keep=["value", "m"])) == [("s", "a", 1, "1", "clash")]
     unnumbered = spark.createDataFrame([("s", 0, None, 0, "a", "1", False), ("s", 0, None, 0, "b", "1", False), ("s", 1, None, 0, "b", None, None), ("s", 0, None, 0, "c", "1", False), ("s", 1, 5, 0, "c", None, None)], FEED)
     for keep in ([], ["value"]):
         assert rows(newest_first(effective_changes(unnumbered), ["store", "key"], keep=keep).select("key", "seq")) == [("a", None)]
@@ -229,7 +231,7 @@ SNAP = "scope string, snapshot long, taken_at timestamp, files array<struct<name
 
 def changes(spark, snaps, **kw):
     df = spark.createDataFrame([(s, i, at(t), None if f is None else [(n, 1, h) for n, h in f], "clash") for s, i, t, f in snaps], SNAP)
-    return rows(snapshot_changes(df, "files", F.col("item.name"), F.lower("item.sha"), **kw))
+    return rows(snapshot_changes(df, "files", lambda f: f["name"], lambda f: F.lower(f["sha"]), **kw))
 
 
 def test_snapshot_cases(spark):

@@ -48,16 +48,16 @@ def newest_first(changes: DataFrame, keys: list[str], seq: str = "seq", deleted:
     order = F.struct(F.col(seq).alias("s"), F.col(deleted).alias("d"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(keep)])
     if keep:
         newest: Column = F.max(order)
-        parts = [F.col("m.s").alias(seq), F.col("m.d").alias("__deleted"), *[F.col(f"m.v{i}").alias(c) for i, c in enumerate(keep)]]
+        parts = [F.col("__m.s").alias(seq), F.col("__m.d").alias("__deleted"), *[F.col(f"__m.v{i}").alias(c) for i, c in enumerate(keep)]]
     else:  # one long holds both and stays in a hash aggregate
         newest = F.max(F.coalesce(F.col(seq), F.lit(_NO_SEQ)) * 2 + F.col(deleted).cast("long"))
-        parts = [F.nullif(F.shiftright("m", 1), F.lit(_NO_SEQ)).alias(seq), (F.col("m") % 2 != 0).alias("__deleted")]
+        parts = [F.nullif(F.shiftright("__m", 1), F.lit(_NO_SEQ)).alias(seq), (F.col("__m") % 2 != 0).alias("__deleted")]
     cuts = sorted(set(cuts if cuts is not None else seq_cuts(changes, seq, batches) if batches > 1 else []))
     # Batch 0 is the oldest and has the null seqs. All batches are reduced in one pass over the feed.
     band = F.lit(0)
     for c in cuts:
         band = band + F.coalesce((F.col(seq) >= c).cast("int"), F.lit(0))
-    reduced = changes.groupBy(*keys, band.alias("__band")).agg(newest.alias("m")).select(*keys, "__band", *parts)
+    reduced = changes.groupBy(*keys, band.alias("__band")).agg(newest.alias("__m")).select(*keys, "__band", *parts)
     if cuts:
         reduced = materialize(reduced, "batches", "__band")
     resolved: DataFrame | None = None
