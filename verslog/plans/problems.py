@@ -75,7 +75,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Files added, removed or changed between consecutive successful manifests of a store."""
     runs = _ok(_read(spark, sf, "manifests")).where("ok")
     runs = runs.select(F.col("store").alias("scope"), F.col("manifest_id").alias("snapshot"), F.col("created_at").alias("taken_at"), "files")
-    found = snapshot_changes(runs, "files", F.col("item.name"), F.lower("item.sha256"))
+    found = snapshot_changes(runs, "files", lambda f: f["name"], lambda f: F.lower(f["sha256"]))
     return found.select(F.col("snapshot").alias("manifest_id"), F.col("key").alias("name"), "change")
 
 
