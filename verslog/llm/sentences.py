@@ -68,7 +68,6 @@ _RUN = rf"[{regex.escape(_STOPS)}]+(?:[   ]?[!?…।॥]+)*"
 _MARK = regex.compile(rf"({_RUN})|([{regex.escape(_OPENING + _CLOSING)}])|(\n)|({THAI_ENDS})")
 _BLANK = regex.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*")
 _EDGE = regex.compile(r"\S(?:.*\S)?", regex.DOTALL)
-_LATIN = regex.compile(r"\p{Latin}")
 _WORD = regex.compile(r"\p{L}+")
 _SPACE = regex.compile(r"\s*")
 
@@ -99,28 +98,33 @@ def abbreviation(text: str, start: int, end: int) -> str:
         node, i = node[c], i - 1
 
 
-def script_of(text: str) -> str:
-    """ja, zh, th, hi or de for texts of which these scripts or German words make up a good part, else an empty string."""
+def script_of(text: str) -> tuple[str, bool, bool]:
+    """ja, zh, th, hi or an empty string for other scripts, by what makes up a good part of a text; whether its Han characters go
+    with kana; and whether its words are German."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     wide = codes[codes >= 0x900]
-    share = 0.3 * (np.count_nonzero((codes | 32) - 97 < 26) + np.count_nonzero((codes >= 0xC0) & (codes < 0x900)) + len(wide))
+    latin = np.count_nonzero((codes | 32) - 97 < 26) + np.count_nonzero((codes >= 0xC0) & (codes < 0x900))
+    share, script, kana = 0.3 * (latin + len(wide)), "", False
     within = lambda low, high: np.count_nonzero((wide >= low) & (wide < high))
-    if len(wide) > share:
-        if (han := within(0x3400, 0xA000) + within(0x20000, 0x32000)) + (kana := within(0x3040, 0x3100)) > share:
-            return "ja" if kana > 0.1 * (han + kana) else "zh"
-        if within(0xE00, 0xE80) > share:
-            return "th"
-        if within(0x900, 0x980) > share:
-            return "hi"
-    words = _WORD.findall(text.lower())
-    return "de" if sum(w in GERMAN for w in words) > sum(w in OTHER for w in words) else ""
+    if len(wide):
+        han, syllables = within(0x3400, 0xA000) + within(0x20000, 0x32000), within(0x3040, 0x3100)
+        kana = bool(syllables > 0.1 * (han + syllables))
+        if han + syllables > share:
+            script = "ja" if kana else "zh"
+        elif within(0xE00, 0xE80) > share:
+            script = "th"
+        elif within(0x900, 0x980) > share:
+            script = "hi"
+    words = _WORD.findall(text.lower()) if latin else []
+    return script, kana, sum(w in GERMAN for w in words) > sum(w in OTHER for w in words)
 
 
 class Automaton:
     """Walks over one paragraph after another of one text and gives the ends of its units."""
 
     def __init__(self, text: str):
-        self.text, self.script = text, script_of(text)
+        self.text = text
+        self.script, self.kana, self.german = script_of(text)
 
     def ends(self) -> Iterator[int]:
         at = 0
@@ -129,6 +133,29 @@ class Automaton:
             at = gap.end()
         yield from self._paragraph(at, len(self.text))
 
+    def _script(self, at: int, step: int = -1) -> str:
+        """Script of the nearest letter before a position (or, with step 1, from it on), so that texts may mix languages."""
+        i = at if step > 0 else at - 1
+        for _ in range(60):
+            if not 0 <= i < len(self.text):
+                break
+            c, i = self.text[i], i + step
+            if c < "\u0900":
+                if c.isalpha():
+                    return ""
+            elif c not in _STOPS:
+                if c < "\u0980":
+                    return "hi"
+                if "\u0e00" <= c < "\u0e80":
+                    return "th"
+                if "\u3040" <= c < "\u3100":
+                    return "ja"
+                if "\u3400" <= c < "\ua000" or c >= "\U00020000":
+                    return "ja" if self.kana else "zh"
+                if c.isalpha():
+                    return ""
+        return self.script
+
     def _next(self, at: int, stop: int) -> int:
         return _SPACE.match(self.text, at, stop).end()
 
@@ -204,10 +231,11 @@ class Automaton:
         """A speaker line ends the unit before it even if that has no stop."""
         at = self._next(b, stop)
         line = self._speaker(at, unit, stop)
-        return len(self.text[:a].rstrip()) if line is not None and self.text[at].isupper() | (self.script in ("ja", "zh", "th", "hi")) and line - at < SPEAKER_LINE // 2 else None
+        starts = line is not None and line - at < SPEAKER_LINE // 2 and (self.text[at].isupper() or self._script(at, 1))
+        return len(self.text[:a].rstrip()) if starts else None
 
     def _particle(self, unit: int, a: int, b: int, stop: int) -> int | None:
-        return b if self.script == "th" else None
+        return b
 
     def _bracket(self, unit: int, a: int, b: int, stop: int) -> int | None:
         """A remark that stands where a unit begins is a unit, with stops that follow it at once."""
@@ -234,16 +262,17 @@ class Automaton:
         at = self._next(b, stop)
         if at >= stop:
             return stop
-        if self.script == "ja":
+        script = self._script(a) if a > unit else self._script(a, 1)
+        if script == "ja":
             return None if text[at] in PARTICLES or text[at] in "、，,。．" or text[at] in _STOPS else b
-        if self.script == "zh":
+        if script == "zh":
             return None if a == unit or text[at] in "，、,：；" or text[at] in _STOPS or text.startswith(GO_ON["zh"], at) else b
-        if self.script in ("hi", "th"):
+        if script:
             return None
         return b if self._begins(at, stop) else None
 
     def _stop(self, unit: int, a: int, b: int, stop: int) -> int | None:
-        text, script = self.text, self.script
+        text, script = self.text, self._script(a)
         run = text[a:b]
         while b < stop and text[b] in _CLOSING and text[b] not in QUOTES:
             b += 1  # closing marks without an opening one
@@ -256,16 +285,15 @@ class Automaton:
             return b if script == "hi" else None
         nxt = text[at]
         if "!" in run or "?" in run:
-            return b if script in ("ja", "zh", "th", "hi") or self._begins(at, stop) else None
+            return b if script or self._begins(at, stop) else None
         if "…" in run or len(run) > 1:
             if script in ("ja", "zh"):
                 return None if text.startswith(GO_ON[script], at) else b
-            return None if script in ("th", "hi") or at == b or not self._begins(at, stop) or not nxt.isupper() and nxt not in _OPENING + "¿¡" and not nxt.isdigit() and not nxt.islower() else b
-        if script in ("ja", "zh", "th", "hi"):  # no stop of these scripts, but passages in others bring theirs along
-            if text[a - 1] in _QUOTE_ENDS:
-                return b
-            if not _LATIN.match(text, a - 1) and not (at > b and text[a - 1].isdigit() and not nxt.isdigit()):
-                return None
+            return b if not script and at > b and nxt not in "—–-" and self._begins(at, stop) else None
+        if text[a - 1] in _QUOTE_ENDS and nxt not in ",;:":
+            return b
+        if script and not (at > b and text[a - 1].isdigit() and not nxt.isdigit()):
+            return None  # these scripts have no full stop
         return b if self._full_stop(unit, a, b, at, stop) else None
 
     def _joined(self, word: str, kind: str, at: int, stop: int) -> bool:
@@ -290,7 +318,7 @@ class Automaton:
         if at == b and not opens and not self._joined(word, kind, at, stop):
             return False
         if number:
-            if word.isdigit() and (low == unit or text[max(unit, low - 4) : low] == "TOP " or (self.script == "de" and len(word) < 4)):
+            if word.isdigit() and (low == unit or text[max(unit, low - 4) : low] == "TOP " or (self.german and len(word) < 4)):
                 return False
             return not nxt.islower() or self._begins(at, stop)
         if kind == "always":
@@ -303,9 +331,7 @@ class Automaton:
             return self._begins(at, stop)
         if len(word) == 1 and word.isalpha():  # an initial, unless it's the English pronoun
             return word == "I" and text[low - 2 : low - 1].islower() and self._begins(at, stop)
-        if "." in word and all(len(p) <= 1 for p in word.split(".")):
-            return self._begins(at, stop)
-        return True
+        return self._begins(at, stop)
 
 
 def unit_ends(text: str | None) -> list[int]:
