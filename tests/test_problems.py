@@ -1,6 +1,7 @@
 """Ledger, copy diff, message dedup, change feed and snapshot diff: edge cases, skew and brute force."""
 
 import datetime as dt
+import os
 import random
 from itertools import permutations
 
@@ -12,7 +13,7 @@ from verslog.operators.assignment import pair_rows
 from verslog.operators.changes import effective_changes, latest_by_window, newest_first
 from verslog.operators.dedup import SeenRanges, drop_repeats, merge_ranges
 from verslog.operators.diff import diff_copies
-from verslog.operators.ledger import StaleLease, WorkLedger, item_states, next_items, settle_leases
+from verslog.operators.ledger import StaleLease, WorkLedger, item_states, next_items, settle_leases, work
 from verslog.operators.snapshots import snapshot_changes
 
 
@@ -85,6 +86,27 @@ def test_work_ledger(spark, tmp_path):
     assert WorkLedger(spark, f"file://{tmp_path}").states() == {"u1": "done", "u2": "pending"}
 
 
+def test_work_is_done_once_in_spite_of_failures(spark, tmp_path):
+    ledger, other, now = WorkLedger(spark, f"file://{tmp_path}/l"), WorkLedger(spark, f"file://{tmp_path}/l"), [0.0]
+    ledger.add(["a", "b", "c"])
+    tries = {}
+
+    def process(lease):
+        tries[lease.unit] = tries.get(lease.unit, 0) + 1
+        spark.range(3).write.mode("overwrite").parquet(lease.path)
+        if lease.unit == "b" and tries["b"] == 1:
+            raise RuntimeError("lost after the write")
+        if lease.unit == "c" and tries["c"] == 1:  # too slow: another worker takes the unit and finishes it
+            now[0] = 100.0
+            assert work(other, process, lambda: now[0], 50) == (["b", "c"], {})
+
+    done, failed = work(ledger, process, lambda: now[0], 50)
+    assert done == ["a"] and list(failed) == ["b"]
+    assert ledger.states() == {"a": "done", "b": "done", "c": "done"} and tries == {"a": 1, "b": 2, "c": 2}
+    assert spark.read.parquet(*[f"{ledger.folder}/out/{u}" for u in "abc"]).count() == 9
+    assert work(ledger, process, lambda: 200.0, 50) == ([], {})
+
+
 # --- differences of copies -------------------------------------------------------------------------------------------
 
 FILES = "id long, name string, size long, sha string, difference string"
@@ -174,6 +196,19 @@ def test_seen_ranges_are_merged(spark):
     seen.close()
 
 
+def test_seen_ranges_survive_a_restart(spark, tmp_path):
+    make = lambda: SeenRanges(spark, "store", "seq", ["txn_id", "key"], "delivery_id", folder=f"file://{tmp_path}/seen")
+    first, second = [(1, "s", 1, 0, "k"), (2, "s", 1, 0, "k"), (3, None, 1, 0, "k")], [(4, "s", 1, 0, "k"), (5, None, 1, 0, "k"), (6, "s", 2, 0, "k")]
+    assert rows(make().apply(wal(spark, first), 10)) == [(2,)]
+    assert rows(make().apply(wal(spark, first), 10)) == [(2,)]  # repeated after its commit
+    os.makedirs(f"{tmp_path}/seen/step-{11:012d}/numbers")  # left by an attempt that failed
+    assert rows(make().apply(wal(spark, second), 11)) == [(4,), (5,)]
+    assert rows(make().apply(wal(spark, second), 11)) == [(4,), (5,)]
+    assert rows(make().ranges()) == [("s", 1, 2)]
+    with pytest.raises(ValueError):
+        make().apply(wal(spark, second), 9)
+
+
 def test_merge_ranges():
     lo, hi = merge_ranges(np.array([5, 1, 2, 9]), np.array([6, 1, 4, 9]))
     assert (lo.tolist(), hi.tolist()) == ([1, 9], [6, 9])

@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from verslog.commits import CommitLog
 from verslog.functions.hashing import row_hash
 from verslog.session import discard, scratch
 
@@ -74,58 +76,73 @@ def _accept(own: pa.Table, seen: pa.Table) -> pa.Table:
 
 
 class SeenRanges:
-    """State of a deduplicated stream: a folder per step with ranges and accepted malformed identifiers.
+    """State of a deduplicated stream in a folder: per step the ranges and the malformed identifiers that were accepted.
 
-    ``apply`` takes one batch and returns the ids of the messages to drop. A step is written under a path of its own and
-    becomes the state only when it is complete, so a failed step can be repeated. Columns: ``producer`` and ``identity`` may
-    hold nulls, which equal nulls only; ``order`` is unique in the stream and of type long, and the smallest is kept.
+    ``apply`` takes the batch of a step and returns the ids of the messages to drop. A step is written under the path of its
+    number and becomes the state by a commit file, so a step that failed is written anew, one that is repeated after its
+    commit gives the same ids again, and another process goes on with the folder (as ``foreachBatch`` does, whose batch ids
+    may serve as numbers). Columns: ``producer`` and ``identity`` may hold nulls, which equal nulls only; ``order`` is unique in
+    the stream and of type long, and the smallest is kept.
     """
 
-    def __init__(self, spark, producer: str, number: str, identity: list[str], order: str, bucket: int = BUCKET):
+    def __init__(self, spark, producer: str, number: str, identity: list[str], order: str, bucket: int = BUCKET, folder: str | None = None):
         self.spark, self.producer, self.number, self.identity, self.order, self.bucket = spark, producer, number, identity, order, bucket
-        self._state: DataFrame | None = None
-        self._malformed: DataFrame | None = None
-        self._paths: list[str] = []
-
-    def apply(self, batch: DataFrame) -> DataFrame:
-        P, N, I = self.producer, self.number, self.identity
-        names = [f"__i{i}" for i in range(len(I))]
-        rows = batch.select(F.col(P).cast("string").alias("producer"), F.col(N).cast("long").alias("number"), *[F.col(c).alias(n) for c, n in zip(I, names)], F.col(self.order).cast("long").alias("first"))
+        self.folder = (folder or scratch(spark, "seen")).rstrip("/")
+        self._log = CommitLog(spark, f"{self.folder}/steps")
+
+    def _steps(self) -> list[int]:
+        return [n for n in self._log.numbers() if self._log.read(n) is not None]
+
+    def apply(self, batch: DataFrame, step: int | None = None) -> DataFrame:
+        """``step`` grows from batch to batch; the default is the next number."""
+        done = self._steps()
+        step = (done[-1] + 1 if done else 0) if step is None else step
+        at = f"{self.folder}/step-{step:012d}"
+        names = [f"__i{i}" for i in range(len(self.identity))]
+        ident = [F.col(c).alias(n) for c, n in zip(self.identity, names)]
+        rows = batch.select(F.col(self.producer).cast("string").alias("producer"), F.col(self.number).cast("long").alias("number"), *ident, F.col(self.order).cast("long").alias("first"))
+        kept = rows.select("producer", "number", *names, "first").schema
+        if step not in done:
+            if done and step < done[-1]:
+                raise ValueError(f"step {step} comes after step {done[-1]}")
+            self._write(rows, names, at, done, kept)
+            self._log.create(step, "{}")
+        numbers = self.spark.read.schema(_STEP).parquet(f"{at}/numbers").where("kind = 0 and first is not null")
+        accepted = numbers.select("first").unionByName(self.spark.read.schema(kept).parquet(f"{at}/malformed").select("first"))
+        return rows.select(F.col("first").alias(self.order)).join(accepted.select(F.col("first").alias("a")), F.col(self.order) == F.col("a"), "left_anti")
+
+    def _write(self, rows: DataFrame, names: list[str], at: str, done: list[int], kept: StructType) -> None:
         rows = rows.withColumn("digest", row_hash(*[F.col(n) for n in names]))
         # Copies are counted out before the shuffle: a number is one row of longs per task, whatever its identifiers hold.
         own = rows.dropna(subset=["producer", "number"]).groupBy("producer", "number")
         own = own.agg(F.min_by("digest", "first").alias("digest"), F.min("first").alias("first"), F.min("digest").alias("least"), F.max("digest").alias("most"))
         own = own.withColumn("bucket", F.floor(F.col("number") / self.bucket))
-        none = self.spark.createDataFrame([], _STEP)
-        state = (none if self._state is None else self._state).select("producer", "bucket", "number", "last", "digests")
-        step = own.groupBy("producer", "bucket").cogroup(state.groupBy("producer", "bucket")).applyInArrow(_accept, _STEP)
-        at = scratch(self.spark, "seen")
-        step.write.partitionBy("kind").parquet(f"{at}/step")
-        said = self.spark.read.schema(_STEP).parquet(f"{at}/step")
-        numbers = said.where("kind = 0")
+        step = own.groupBy("producer", "bucket").cogroup(self._state(done).groupBy("producer", "bucket")).applyInArrow(_accept, _STEP)
+        step.write.mode("overwrite").partitionBy("kind").parquet(f"{at}/numbers")
         # A malformed identifier has no number, or one that stands for another identifier. Few numbers are odd, so their
         # messages are found without shuffling the batch.
-        held = numbers.where("odd").select(F.col("producer").alias("p"), F.col("number").alias("n"), F.col("digest").alias("d"))
+        held = self.spark.read.schema(_STEP).parquet(f"{at}/numbers").where("kind = 0 and odd").select(F.col("producer").alias("p"), F.col("number").alias("n"), F.col("digest").alias("d"))
         clash = rows.join(held, (F.col("producer") == F.col("p")) & (F.col("number") == F.col("n")) & (F.col("digest") != F.col("d"))).drop("p", "n", "d")
         odd = clash.unionByName(rows.where("producer is null or number is null")).groupBy("producer", "number", *names).agg(F.min("first").alias("first"))
-        if self._malformed is not None:
-            before = self._malformed.select(*[F.col(c).alias(f"b{c}") for c in ("producer", "number", *names)])
+        if done:
+            before = self.spark.read.schema(kept).parquet(*[f"{self.folder}/step-{n:012d}/malformed" for n in done])
+            before = before.select(*[F.col(c).alias(f"b{c}") for c in ("producer", "number", *names)])
             odd = odd.join(before, [F.col(c).eqNullSafe(F.col(f"b{c}")) for c in ("producer", "number", *names)], "left_anti")
-        odd.select("producer", "number", *names, "first").write.parquet(f"{at}/malformed")
-        new = self.spark.read.schema(odd.select("producer", "number", *names, "first").schema).parquet(f"{at}/malformed")
-        self._state = said.where("kind = 1")
-        self._malformed = new if self._malformed is None else self._malformed.unionByName(new)
-        accepted = numbers.where("first is not null").select("first").unionByName(new.select("first"))
-        self._paths.append(at)
-        return rows.select(F.col("first").alias(self.order)).join(accepted.select(F.col("first").alias("a")), F.col(self.order) == F.col("a"), "left_anti")
+        odd.select("producer", "number", *names, "first").write.mode("overwrite").parquet(f"{at}/malformed")
+
+    def _state(self, done: list[int]) -> DataFrame:
+        if not done:
+            return self.spark.createDataFrame([], _STEP).select("producer", "bucket", "number", "last", "digests")
+        rows = self.spark.read.schema(_STEP).parquet(f"{self.folder}/step-{done[-1]:012d}/numbers").where("kind = 1")
+        return rows.select("producer", "bucket", "number", "last", "digests")
 
     def ranges(self) -> DataFrame:
         """The seen ranges (producer, first number, last number)."""
-        return self._state.select("producer", F.col("number").alias("lo"), F.col("last").alias("hi"))
+        return self._state(self._steps()).select("producer", F.col("number").alias("lo"), F.col("last").alias("hi"))
 
     def close(self) -> None:
-        for at in self._paths:
-            discard(self.spark, at)
+        """Removes the state."""
+        discard(self.spark, self.folder)
 
 
 def drop_repeats(stream: DataFrame, producer: str, number: str, identity: list[str], order: str, batches: int = 2) -> DataFrame:

@@ -166,3 +166,20 @@ class WorkLedger:
 
     def states(self) -> dict[str, str]:
         return {u: x["state"] for u, x in sorted(self._refresh().items())}
+
+
+def work(ledger: WorkLedger, process, clock, seconds: float, limit: int = 100) -> tuple[list[str], dict[str, Exception]]:
+    """Leases up to ``limit`` units and processes them one by one: process(lease) writes to ``lease.path``, replacing what is there.
+    Returns the units done and the errors of units given back. A unit that went to another worker meanwhile is in neither."""
+    done, failed = [], {}
+    for lease in ledger.lease(limit, clock(), seconds):
+        try:
+            process(lease)
+            ledger.complete(lease)
+            done.append(lease.unit)
+        except StaleLease:
+            continue
+        except Exception as e:
+            ledger.release(lease)
+            failed[lease.unit] = e
+    return done, failed

@@ -15,7 +15,7 @@ def running_sum(df: DataFrame, order: list[Column], amount: Column, name: str, p
     Rows are split into ranges of the order and written once; the sums of the ranges, one row each, are carried in, and
     within a range a window adds up.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = materialize(df.withColumn("__n", amount).repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     before = cut.groupBy("__p").agg(F.sum("__n").alias("s")).select(F.col("__p").alias("__q"), F.coalesce(F.sum("s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     inside = F.coalesce(F.sum("__n").over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
