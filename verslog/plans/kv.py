@@ -261,13 +261,13 @@ def oldest_pinned(spark, sf):
 _BYTES = "octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0)"
 
 
-@query(_LOG + f"SELECT level, count(*) AS entries, count(*) FILTER (tombstone) AS tombstones, sum({_BYTES} + 20) AS bytes, max(seq) AS max_seq FROM lv GROUP BY level")
+@query(_LOG + f"SELECT level, count(*) AS entries, count(*) FILTER (tombstone) AS tombstones, CAST(sum({_BYTES} + 20) AS bigint) AS bytes, max(seq) AS max_seq FROM lv GROUP BY level")
 def tier_stats(spark, sf):
     log, last = _log(spark, sf)
     return merge.tier_stats(log.withColumn("level", L.tier_of(F.col("seq"), last).cast("int")))
 
 
-@query(_LOG + f"SELECT count(*) AS entries, sum({_BYTES} + 32) AS bytes, sum({_BYTES} + 32) >= 65536 AS is_full FROM lv WHERE level = 0")
+@query(_LOG + f"SELECT count(*) AS entries, CAST(sum({_BYTES} + 32) AS bigint) AS bytes, sum({_BYTES} + 32) >= 65536 AS is_full FROM lv WHERE level = 0")
 def memtable_size(spark, sf):
     log, last = _log(spark, sf)
     size = F.sum(merge.entry_bytes(merge.MEM_OVERHEAD))
@@ -390,7 +390,7 @@ def txn_apply(spark, sf):
     return resolve.live(txn.replay(ops.unionByName(marks), [])).select("key", "value", "seq")
 
 
-@query("""SELECT doc_id AS txn_id, 1 AS ops, CASE WHEN text IS NULL OR text = '' THEN 'KEY_EMPTY' ELSE 'KEY_TOO_LARGE' END AS error
+@query("""SELECT doc_id AS txn_id, CAST(1 AS bigint) AS ops, CASE WHEN text IS NULL OR text = '' THEN 'KEY_EMPTY' ELSE 'KEY_TOO_LARGE' END AS error
 FROM documents WHERE text IS NULL OR text = '' OR octet_length(encode(text)) > 8192""")
 def txn_limits(spark, sf):
     """Transactions with a speech as key: empty and too large ones."""
