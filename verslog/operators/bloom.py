@@ -17,6 +17,8 @@ FPR_TARGET, FPR_MIN, FPR_MAX = 0.01, 0.001, 0.05
 LEAST_QUERIES = 100
 #: Bits of a filter that a task puts together: 64 MB.
 MOST_BITS = 1 << 29
+#: Bytes of filters that a task holds while it builds them; one filter more than that is emitted batch by batch.
+HELD_BYTES = 128 << 20
 
 
 def size(n: int, p: float) -> tuple[int, int]:
@@ -64,23 +66,32 @@ def _bytes(column: pa.ChunkedArray) -> list[bytes]:
 
 
 def build(rows: DataFrame, file: str, key: str, m: int, k: int) -> DataFrame:
-    """(file, word, bits): 64-bit words of each file's filter that aren't zero. Words are made per task and combined with OR, so
-    the shuffle carries words, not keys."""
+    """(file, word, bits): 64-bit words of each file's filter that aren't zero. Words are put together per task, as far as
+    filters fit HELD_BYTES, and combined with OR, so the shuffle carries words, not keys."""
+    n_words = (m + 63) // 64
+
+    def emit(held: dict[str, np.ndarray]):
+        for name, flat in held.items():
+            word = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(word), pa.string()), pa.array(word), pa.array(flat[word].view(np.int64))], names=["file", "word", "bits"])
 
     def words(batches):
+        held: dict[str, np.ndarray] = {}
         for b in batches:
-            if not b.num_rows:
-                continue
             t = pa.Table.from_batches([b])
-            at = positions(_bytes(t.column("key")), m, k)
-            names = pc.unique(t.column("file"))
-            code = pc.index_in(t.column("file"), names).to_numpy().astype(np.int64)
-            place = (code[:, None] * ((m + 63) // 64) + (at >> 6)).ravel()
-            order = np.argsort(place, kind="stable")
-            place, bits = place[order], (np.uint64(1) << (at & 63).astype(np.uint64)).ravel()[order]
-            start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-            which, word = np.divmod(place[start], (m + 63) // 64)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(which)).cast(pa.string()), pa.array(word), pa.array(np.bitwise_or.reduceat(bits, start).view(np.int64))], names=["file", "word", "bits"])
+            names = pc.unique(t.column("file")).to_pylist()
+            for name in names:
+                keys = t.column("key") if len(names) == 1 else t.filter(pc.equal(t.column("file"), name) if name is not None else pc.is_null(t.column("file"))).column("key")
+                at = positions(_bytes(keys), m, k).ravel()
+                order = np.argsort(at, kind="stable")
+                word, bits = at[order] >> 6, np.uint64(1) << (at[order] & 63).astype(np.uint64)
+                start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                if name not in held and 8 * n_words * (len(held) + 1) > HELD_BYTES:
+                    yield from emit(held)
+                    held = {}
+                flat = held.setdefault(name, np.zeros(n_words, dtype=np.uint64))
+                flat[word[start]] |= np.bitwise_or.reduceat(bits, start)
+        yield from emit(held)
 
     made = rows.where(F.col(key).isNotNull()).select(F.col(file).cast("string").alias("file"), F.col(key).alias("key")).mapInArrow(words, "file string, word long, bits long")
     return made.groupBy("file", "word").agg(F.bit_or("bits").alias("bits"))

@@ -22,9 +22,17 @@ def running_sum(df: DataFrame, order: list[Column], amount: Column, name: str, p
     return cut.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__b") + inside).drop("__p", "__q", "__b", "__n")
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str = "n", start: int = 1) -> DataFrame:
-    """Adds dense numbers from ``start`` in the given order."""
-    return running_sum(df, order, F.lit(1).cast("long"), "__s").withColumn(name, F.col("__s") + start).drop("__s")
+def number_rows(df: DataFrame, order: list[Column] | None, name: str = "n", start: int = 1, partitions: int | None = None) -> DataFrame:
+    """Adds dense numbers from ``start`` in the given order, or, with None, in whatever order the rows are in.
+
+    Rows are written once, with their place in a range of the order; what comes before a range is added when they're read again.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df if order is None else df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The id counts up from a multiple of 2^33 in each partition, in the order of its rows.
+    cut = materialize(rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() % (1 << 33)), "numbered")
+    before = cut.groupBy("__p").agg(F.count("*").alias("s")).select(F.col("__p").alias("__q"), F.coalesce(F.sum("s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return cut.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__b") + F.col("__i") + start).drop("__p", "__q", "__b", "__i")
 
 
 def zone_map(tier: DataFrame, block_bytes: int, entry: Column) -> DataFrame:

@@ -12,7 +12,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -152,13 +152,14 @@ class Store:
 
     def _write_run(self, rows: DataFrame, level: int) -> Run:
         path = f"runs/{uuid.uuid4().hex}"
-        writer = rows.write.option("compression", self.config.codecs[level])
+        seen = Observation()
+        size = F.coalesce(F.sum(merge.entry_bytes(merge.MEM_OVERHEAD)), F.lit(0)).alias("bytes")
+        writer = rows.observe(seen, size).write.option("compression", self.config.codecs[level])
         if level > merge.MEM:  # readers skip row groups whose filter lacks the key
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_rate))
         writer.parquet(f"{self.folder}/{path}")
-        written = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}")
-        n, size = written.agg(F.count("*"), F.coalesce(F.sum(merge.entry_bytes(merge.MEM_OVERHEAD)), F.lit(0))).first()
-        return Run(path, level, 0, n, size)
+        n = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}").count()  # from the footers
+        return Run(path, level, 0, n, seen.get["bytes"])
 
     def _read(self, runs: list[Run] | None = None, kind: str = DATA) -> DataFrame:
         """All rows of some runs with their seq and level. The kind is a column that Parquet statistics prune by."""
@@ -178,8 +179,8 @@ class Store:
     def write(self, ops: DataFrame, order: list[str] | None = None, family: str = "", txn_id: int = 0) -> int:
         """One commit of many operations (key, value, tombstone), a sequence number each, in the given order (the default
         takes any order, which is enough if keys are distinct). A later operation on the same key wins. Returns the last seq."""
-        marks = {f"__o{i}": F.col(c) for i, c in enumerate(order or ["key"])}
-        rows = number_rows(self._rows(ops.withColumns(marks), family, DATA), [F.col(c) for c in marks], "n")
+        marks = {f"__o{i}": F.col(c) for i, c in enumerate(order or [])}
+        rows = number_rows(self._rows(ops.withColumns(marks), family, DATA), [F.col(c) for c in marks] or None, "n")
         return self._append(rows.withColumn("txn_id", F.lit(txn_id).cast("long")))
 
     def _rows(self, ops: DataFrame, family: str, kind: str) -> DataFrame:
