@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verslog.functions.hashing import row_hash
 from verslog.operators.assignment import pair_rows
 
 
@@ -29,7 +30,8 @@ def diff_copies(
     ``extra_in_<name>``, else nothing. NULL equals NULL only, in keys and fields; ``normal`` maps fields to a normal form
     first. Other columns, whatever their names, aren't read. Two empty tables have no differences.
 
-    Identical rows are counted before the shuffle, so a key or row that fills a third of a side is a few rows afterwards.
+    Fields are compared by 64-bit hashes, made where the rows are read, so long values aren't shuffled and all aggregates stay
+    hash aggregates. Identical rows are counted before the shuffle, so a key or row that fills a third of a side is a few rows afterwards.
     Only keys with several different leftovers on a side reach Python, where memory is in proportion to those leftovers.
     """
     normal = normal or {}
@@ -37,7 +39,7 @@ def diff_copies(
 
     def side(df: DataFrame, l: int) -> DataFrame:
         return df.select(
-            *[F.col(k).alias(a) for k, a in zip(keys, K)], *[normal.get(f, lambda c: c)(F.col(f)).alias(a) for f, a in zip(fields, V)], F.lit(l).cast("long").alias("__l"), F.lit(1 - l).cast("long").alias("__r")
+            *[F.col(k).alias(a) for k, a in zip(keys, K)], *[row_hash(normal.get(f, lambda c: c)(F.col(f))).alias(a) for f, a in zip(fields, V)], F.lit(l).cast("long").alias("__l"), F.lit(1 - l).cast("long").alias("__r")
         )
 
     variants = side(left, 1).unionByName(side(right, 0)).groupBy(*K, *V).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
@@ -54,7 +56,7 @@ def diff_copies(
     )
     said = [
         F.when(F.col("__r") == 0, F.lit(f"missing_in_{names[1]}")).when(F.col("__l") == 0, F.lit(f"missing_in_{names[0]}")),
-        *[F.when((F.col("__dl") == 1) & (F.col("__dr") == 1) & ~F.col(f"__a{i}").eqNullSafe(F.col(f"__b{i}")), F.lit(f)) for i, f in enumerate(fields)],
+        *[F.when((F.col("__dl") == 1) & (F.col("__dr") == 1) & (F.col(f"__a{i}") != F.col(f"__b{i}")), F.lit(f)) for i, f in enumerate(fields)],
     ]
     if extra_copies:
         said += [F.when((F.col("__l") > 0) & (F.col("__r") > 0) & (F.col(a) > F.col(b)), F.lit(f"extra_in_{n}")) for n, a, b in ((names[0], "__sl", "__sr"), (names[1], "__sr", "__sl"))]
