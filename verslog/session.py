@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +65,20 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     at = scratch(spark, name)
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once an application, for sessions that weren't started with it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="verslog-package-")) / "verslog.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(at))
+    _SHIPPED.add(sc.applicationId)
