@@ -3,12 +3,14 @@
 import datetime as dt
 import os
 import random
+import time
 from itertools import permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verslog.operators import assignment
 from verslog.operators.assignment import pair_rows
 from verslog.operators.changes import effective_changes, latest_by_window, newest_first
 from verslog.operators.dedup import SeenRanges, drop_repeats, merge_ranges
@@ -138,7 +140,24 @@ def test_diff_hot_key(spark):
     assert diff(spark, many, many + [(1, "hot", 7, "x")], extra_copies=True) == [(1, "hot", "extra_in_r")]
 
 
-def test_pairing_is_least(spark):
+def test_large_pairing_is_least_and_quick(monkeypatch):
+    rng = np.random.default_rng(2)
+    cost = lambda a, b, pairs: sum((a[i] != b[j]).sum() for i, j in pairs)
+    for f in (1, 2, 3, 4):
+        a, b = rng.integers(0, 12, (90, f)), rng.integers(0, 12, (70, f))
+        dense = pair_rows(a, b)
+        monkeypatch.setattr(assignment, "DENSE_PAIRS", 0)
+        sparse = pair_rows(a, b)
+        monkeypatch.undo()
+        assert cost(a, b, dense) == cost(a, b, sparse) and len(sparse) == 70 == len({i for i, _ in sparse}) == len({j for _, j in sparse})
+    a, b = (np.column_stack([rng.integers(0, 8000, 20_000), rng.integers(0, 3, 20_000)]) for _ in range(2))
+    began = time.time()
+    assert len(pair_rows(a, b)) == 20_000 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("dense", [10**9, 0])
+def test_pairing_is_least(monkeypatch, dense):
+    monkeypatch.setattr(assignment, "DENSE_PAIRS", dense)
     rng = np.random.default_rng(1)
     for _ in range(150):
         n, m, f = rng.integers(1, 5), rng.integers(1, 6), rng.integers(1, 4)

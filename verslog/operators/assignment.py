@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from itertools import combinations
+
 import numpy as np
 
 
@@ -54,11 +57,138 @@ def _parts(left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return [(np.flatnonzero(label[:cut] == p), np.flatnonzero(label[cut:] == p)) for p in np.unique(label)]
 
 
+#: Pairs up to which costs are taken row by row, and fields up to which a flow over shared values is used beyond that.
+DENSE_PAIRS, FLOW_FIELDS = 250_000, 8
+
+
+class _Flow:
+    """Cheapest largest flow of unit edges with small whole costs: potentials, and Dinic's levels over edges without reduced cost."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+
+    def edge(self, a: int, b: int, room: int, cost: int) -> None:
+        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+            self.cost.append(c)
+
+    def run(self, source: int, sink: int) -> None:
+        to, room, cost, out = self.to, self.room, self.cost, self.out
+        height = [0] * len(out)
+        while True:
+            far = [-1] * len(out)
+            heap = [(0, source)]
+            while heap:
+                d, x = heapq.heappop(heap)
+                if far[x] >= 0:
+                    continue
+                far[x] = d
+                for e in out[x]:
+                    if room[e] and far[to[e]] < 0:
+                        heapq.heappush(heap, (d + cost[e] + height[x] - height[to[e]], to[e]))
+            if far[sink] < 0:
+                return
+            for x, d in enumerate(far):
+                height[x] += d if 0 <= d < far[sink] else far[sink]
+            while self._block(source, sink, height):
+                pass
+
+    def _block(self, source: int, sink: int, height: list[int]) -> bool:
+        """One blocking flow over the levels of edges without reduced cost; whether it moved anything."""
+        to, room, cost, out = self.to, self.room, self.cost, self.out
+        level = [-1] * len(out)
+        level[source], wave = 0, [source]
+        while wave and level[sink] < 0:
+            ahead = []
+            for x in wave:
+                for e in out[x]:
+                    y = to[e]
+                    if room[e] and level[y] < 0 and cost[e] + height[x] == height[y]:
+                        level[y] = level[x] + 1
+                        ahead.append(y)
+            wave = ahead
+        if level[sink] < 0:
+            return False
+        at, path, x, moved = [0] * len(out), [], source, False
+        while True:
+            if x == sink:
+                for e in path:
+                    room[e] -= 1
+                    room[e ^ 1] += 1
+                moved, path, x = True, [], source
+            while at[x] < len(out[x]):
+                e = out[x][at[x]]
+                y = to[e]
+                if room[e] and level[y] == level[x] + 1 and cost[e] + height[x] == height[y]:
+                    break
+                at[x] += 1
+            else:
+                if x == source:
+                    return moved
+                e = path.pop()
+                x = to[e ^ 1]
+                at[x] += 1
+                continue
+            path.append(e)
+            x = y
+
+
+def _flow_pairs(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Cheapest pairing through nodes for shared values: a row may pass through any set of its field values that the other side
+    has as well, at the cost of the fields outside the set. Edges grow with the rows, not with their pairs."""
+    n, m, fields = len(left), len(right), left.shape[1]
+    source, sink = 0, n + m + 1
+    links = [(np.zeros(n, dtype=np.int64), np.zeros(m, dtype=np.int64), fields, 1)]
+    for size in range(1, fields + 1):
+        for chosen in combinations(range(fields), size):
+            _, group = np.unique(np.vstack([left[:, chosen], right[:, chosen]]), axis=0, return_inverse=True)
+            group = group.ravel()
+            both = np.intersect1d(group[:n], group[n:])
+            place = np.full(group.max() + 1, -1)
+            place[both] = np.arange(len(both))
+            links.append((place[group[:n]], place[group[n:]], fields - size, len(both)))
+    flow = _Flow(sink + 1 + sum(k for *_, k in links))
+    for i in range(n):
+        flow.edge(source, 1 + i, 1, 0)
+    for j in range(m):
+        flow.edge(1 + n + j, sink, 1, 0)
+    base = sink + 1
+    for mine, theirs, cost, k in links:
+        for i in np.flatnonzero(mine >= 0):
+            flow.edge(1 + int(i), base + int(mine[i]), 1, cost)
+        for j in np.flatnonzero(theirs >= 0):
+            flow.edge(base + int(theirs[j]), 1 + n + int(j), 1, 0)
+        base += k
+    flow.run(source, sink)
+    come: dict[int, list[int]] = {}
+    for i in range(n):
+        for e in flow.out[1 + i]:
+            if e % 2 == 0 and flow.room[e] == 0:
+                come.setdefault(flow.to[e], []).append(i)
+    pairs = []
+    for node, rows in come.items():
+        gone = [flow.to[e] - 1 - n for e in flow.out[node] if e % 2 == 0 and flow.room[e] == 0]
+        pairs += zip(rows, gone)
+    return pairs
+
+
 def pair_rows(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs min(len) rows of two integer-coded arrays (equal code: equal value) so that the sum of differing fields is least."""
+    """Pairs min(len) rows of two integer-coded arrays (equal code: equal value) so that the sum of differing fields is least.
+
+    Both ways are exact. Large parts go to a flow whose size follows the rows; row-by-row costs remain for small parts and for
+    more fields than FLOW_FIELDS."""
     pairs: list[tuple[int, int]] = []
     for a, b in _parts(left, right):
-        if len(a) and len(b):
+        if not len(a) or not len(b):
+            continue
+        if len(a) * len(b) > DENSE_PAIRS and left.shape[1] <= FLOW_FIELDS:
+            pairs += [(int(a[i]), int(b[j])) for i, j in _flow_pairs(left[a], right[b])]
+        else:
             swap = len(a) > len(b)
             x, y = (b, a) if swap else (a, b)
             for i, j in enumerate(_hungarian((right if swap else left)[x], (left if swap else right)[y])):
