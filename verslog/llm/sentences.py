@@ -51,7 +51,7 @@ GO_ON = {"ja": ("また", "そして", "それでも"), "zh": ("一直", "又",
 PARTICLES = "とのをがはにもでへやか"
 
 #: Lower-case words with which names, and so sentences, begin.
-NOBILIARY = ("von", "van", "de", "zu")
+NOBILIARY = ("von", "van")
 
 #: Frequent words by which German is told from other languages; a number with a full stop is an ordinal there.
 GERMAN = frozenset("der die das und nicht den dem ein eine zu von mit auf für ist des im am wir uns hat wie ich sie aus".split())
@@ -64,7 +64,7 @@ _CLOSING = "".join(sorted({c for x in (*BRACKETS.values(), *QUOTES.values()) for
 _QUOTE_ENDS = "".join(QUOTES.values())
 _OPENING = "".join({*BRACKETS, *QUOTES})
 _STOPS = LATIN_STOPS + WIDE_STOPS + INDIC_STOPS + OTHER_STOPS
-_RUN = rf"[{regex.escape(_STOPS)}]+(?:[   ]?[!?…।॥]+)*"
+_RUN = rf"[{regex.escape(_STOPS)}]+(?:[ \u00a0\u202f]?[!?…।॥]+)*"
 _MARK = regex.compile(rf"({_RUN})|([{regex.escape(_OPENING + _CLOSING)}])|(\n)|({THAI_ENDS})")
 _BLANK = regex.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*")
 _EDGE = regex.compile(r"\S(?:.*\S)?", regex.DOTALL)
@@ -250,7 +250,7 @@ class Automaton:
         c = self.text[at]
         if c.islower():
             word = _WORD.match(self.text, at, stop)[0]
-            return word in NOBILIARY[:2] and (n := self._next(at + len(word), stop)) < stop and self.text[n].isupper()
+            return word in NOBILIARY and (n := self._next(at + len(word), stop)) < stop and self.text[n].isupper()
         return c.isalnum() or c in _OPENING or c in "¿¡§—–-"
 
     def _quote(self, unit: int, a: int, b: int, stop: int) -> int | None:
