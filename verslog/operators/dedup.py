@@ -146,7 +146,10 @@ class SeenRanges:
 
 
 def drop_repeats(stream: DataFrame, producer: str, number: str, identity: list[str], order: str, batches: int = 2) -> DataFrame:
-    """Ids (``order``) of all copies but the first of each message, of a whole stream taken in batches of delivery."""
+    """Ids (``order``) of all copies but the first of each message, of a whole stream taken in batches of delivery.
+
+    Rows without an id can't be named and are left out; an empty stream gives no ids. Long identifiers and extra columns of
+    any name don't matter: an identifier is 8 bytes in the state."""
     seen = SeenRanges(stream.sparkSession, producer, number, identity, order)
     low, high = stream.agg(F.min(order), F.max(order)).first()
     if low is None:

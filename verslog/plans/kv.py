@@ -58,7 +58,7 @@ def latest(spark, sf):
     return resolve.live(L.event_log(spark, sf)).select("key", "value", "seq")
 
 
-@query("SELECT hex(key) AS key, hex(value) AS value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, tombstone DESC, value DESC NULLS LAST) AS r FROM entries) WHERE r = 1 AND NOT tombstone")
+@query("SELECT hex(key) AS key, hex(value) AS value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, tombstone DESC, value DESC NULLS LAST) AS r FROM entries) WHERE r = 1 AND NOT coalesce(tombstone, false)")
 def latest_entries(spark, sf):
     """The same over stored versions with binary keys, control bytes and repeated rows included."""
     return resolve.live(L.entry_log(spark, sf)).select(F.hex("key").alias("key"), F.hex("value").alias("value"), "seq")
@@ -139,7 +139,7 @@ def prefix_scan(spark, sf):
     return scan.prefix_scan(L.event_log(spark, sf), "user:00000")
 
 
-@query("SELECT hex(key) AS key, seq, tombstone FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, tombstone DESC) AS r FROM entries) WHERE r = 1 AND NOT tombstone AND starts_with(hex(key), '006366')")
+@query("SELECT hex(key) AS key, seq, tombstone FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, tombstone DESC) AS r FROM entries) WHERE r = 1 AND NOT coalesce(tombstone, false) AND starts_with(hex(key), '006366')")
 def prefix_scan_binary(spark, sf):
     """Keys of all families, by a binary prefix with control bytes."""
     return scan.prefix_scan(L.entry_log(spark, sf), b"\x00cf").select(F.hex("key").alias("key"), "seq", "tombstone")

@@ -88,7 +88,8 @@ class Manifest:
 
 
 class Snapshot:
-    """A pinned sequence number; compaction keeps what it sees until it is released as often as it was taken."""
+    """A pinned sequence number; compaction keeps what it sees until it is released as often as it was taken. Pins are known to the
+    process that took them, so the process that compacts should be the one that hands out snapshots."""
 
     def __init__(self, store: Store, seq: int):
         self.store, self.seq, self.refs = store, seq, 1
