@@ -118,7 +118,7 @@ def test_pack_divides_only_what_is_larger(spark):
         assert pieces == (list(range(4)) if c == 1 else [0])
         assert {r["item"] for r in one} == {i for i, _ in items} and len([r for r in one if r["item"] == 2]) == 2
         assert len([r for r in one if r["item"] == 4]) == 1
-    assert pack.pack(df.where("false"), "item", "tokens", {1: 100}).count() == 0
+    assert pack.pack(df.where("false"), "item", "tokens", {1: 100}).count() == 0 == pack.pack(df, "item", "tokens", {}).count()
     with pytest.raises(ValueError):
         pack.pack(df, "item", "tokens", {1: 0})
 

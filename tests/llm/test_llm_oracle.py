@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from compare import differs, views
 
@@ -23,3 +24,12 @@ def test_rows(spark, con, name):
         assert differs(spark, con, queries.QUERIES[name], queries.ORACLE[name], SF) == ""
     else:
         assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, tmp_path, name):
+    for f in os.listdir(SF) if os.path.isdir(SF) else []:
+        pq.write_table(pq.read_table(f"{SF}/{f}").slice(0, 0), f"{tmp_path}/{f}")
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0

@@ -110,14 +110,17 @@ def pack(df: DataFrame, item: str, tokens: str, capacities: dict[int, int], shar
 
     An item larger than the capacity alone is divided: its full pieces fill windows of their own, the last piece is packed like
     an item. Items without tokens (null, 0 or less) take no room and are put into the first window of their shard. Items
-    should have distinct ids, which spread them over the shards; repeats and nulls are packed too. An empty table gives no
-    rows. ``capacities`` maps container ids to positive capacities. A window number is unique within its container id.
+    should have distinct ids, which spread them over the shards; repeats and nulls are packed too. An empty table and no
+    capacities give no rows. ``capacities`` maps container ids to positive capacities. A window number is unique within its container id.
     """
     if any(c is None or c < 1 for c in capacities.values()):
         raise ValueError("capacities must be positive")
     if shards is None:
         shards = max(1, -(-df.count() // SHARD_ITEMS))
     kinds = dict(df.dtypes)
+    schema = f"container_id int, {item} {kinds[item]}, piece int, window long, tokens long"
+    if not capacities:
+        return df.sparkSession.createDataFrame([], schema)
     sizes = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(c).alias("cap")) for k, c in sorted(capacities.items())])
     rows = df.select(F.col(item).alias("item"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("long"))
@@ -146,4 +149,4 @@ def pack(df: DataFrame, item: str, tokens: str, capacities: dict[int, int], shar
             }
         )
 
-    return rows.groupBy("id", "cap", "shard").applyInArrow(group, f"container_id int, {item} {kinds[item]}, piece int, window long, tokens long")
+    return rows.groupBy("id", "cap", "shard").applyInArrow(group, schema)
