@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,9 @@ def _path(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     at = f"{shared_folder(spark)}/verslog-{name}-{uuid.uuid4().hex}"
@@ -54,6 +58,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return at
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Removes at its end what was materialized within; nothing lazy over it may be used afterwards."""
+    mark = len(_MADE)
+    try:
+        yield
+    finally:
+        for at in _MADE[mark:]:
+            discard(spark, at)
+        del _MADE[mark:]
+
+
 def discard(spark: SparkSession, at: str) -> None:
     path, fs = _path(spark, at)
     fs.delete(path, True)
@@ -63,6 +79,7 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     at = scratch(spark, name)
+    _MADE.append(at)
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -21,6 +21,7 @@ from verslog.operators import bloom, index, merge, resolve, scan, ttl, txn
 from verslog.operators.families import check_name
 from verslog.operators.index import KeyFn
 from verslog.operators.order import number_rows
+from verslog.session import temporary
 from verslog.sources import backup
 
 _ROW = "family string, key binary, value binary, tombstone boolean, expire_at_ns long, kind string, txn_id long, n long"
@@ -181,8 +182,9 @@ class Store:
         """One commit of many operations (key, value, tombstone), a sequence number each, in the given order (the default
         takes any order, which is enough if keys are distinct). A later operation on the same key wins. Returns the last seq."""
         marks = {f"__o{i}": F.col(c) for i, c in enumerate(order or [])}
-        rows = number_rows(self._rows(ops.withColumns(marks), family, DATA), [F.col(c) for c in marks] or None, "n")
-        return self._append(rows.withColumn("txn_id", F.lit(txn_id).cast("long")))
+        with temporary(self.spark):
+            rows = number_rows(self._rows(ops.withColumns(marks), family, DATA), [F.col(c) for c in marks] or None, "n")
+            return self._append(rows.withColumn("txn_id", F.lit(txn_id).cast("long")))
 
     def _rows(self, ops: DataFrame, family: str, kind: str) -> DataFrame:
         have = dict(ops.dtypes)
@@ -288,7 +290,8 @@ class Store:
         self._known(name)
         dead = resolve.live(self.log(name)).select("key", F.lit(True).alias("tombstone"))
         gone = self._rows(dead, name, DATA).unionByName(self._rows(self._deadlines(name).select("key", F.lit(True).alias("tombstone")), name, TTL))
-        self._append(number_rows(gone, [F.col("kind"), F.col("key")], "n"), families=lambda have: [f for f in have if f != name])
+        with temporary(self.spark):
+            self._append(number_rows(gone, [F.col("kind"), F.col("key")], "n"), families=lambda have: [f for f in have if f != name])
 
     # --- expiry ------------------------------------------------------------------------------------------------------
 
@@ -323,7 +326,8 @@ class Store:
         """Deletes keys, and their deadlines, that are over; returns the last seq."""
         over = ttl.reap(self._ttl_log(family), now_ns).select("key", F.lit(True).alias("tombstone"))
         rows = self._rows(over, family, DATA).unionByName(self._rows(over, family, TTL))
-        return self._append(number_rows(rows, [F.col("key"), F.col("kind")], "n"))
+        with temporary(self.spark):
+            return self._append(number_rows(rows, [F.col("key"), F.col("kind")], "n"))
 
     # --- indexes -----------------------------------------------------------------------------------------------------
 
@@ -352,7 +356,8 @@ class Store:
             want = after.where("not tombstone").select(F.col("key").alias("pk"), F.explode(F.array_distinct(fn(F.col("key"), F.col("value")).cast("array<binary>"))).alias("index_key")).where("index_key is not null")
             both = held.select("pk", "index_key", F.lit(-1).alias("s")).unionByName(want.select("pk", "index_key", F.lit(1).alias("s"))).groupBy("pk", "index_key").agg(F.sum("s").alias("s")).where("s <> 0")
             rows = rows.select(*[c for c in self._schema.fieldNames() if c != "n"]).unionByName(self._entry_rows(name, both.withColumn("change", F.when(F.col("s") > 0, "ADD").otherwise("REMOVE"))).select(*[c for c in self._schema.fieldNames() if c != "n"]))
-        return self._append(number_rows(rows, [F.col("kind"), F.col("key"), F.col("value")], "n"))
+        with temporary(self.spark):
+            return self._append(number_rows(rows, [F.col("kind"), F.col("key"), F.col("value")], "n"))
 
     def put_indexed(self, key: bytes, value: bytes) -> int:
         return self.write_indexed(self.spark.createDataFrame([(key, value, False)], "key binary, value binary, tombstone boolean"))
@@ -374,12 +379,14 @@ class Store:
         want = index.build(self.log(""), fn).select("pk", F.col("index_key").cast("binary").alias("index_key"))
         both = self.index(name).select("pk", "index_key", F.lit(-1).alias("s")).unionByName(want.withColumn("s", F.lit(1))).groupBy("pk", "index_key").agg(F.sum("s").alias("s")).where("s <> 0")
         rows = self._entry_rows(name, both.withColumn("change", F.when(F.col("s") > 0, "ADD").otherwise("REMOVE")))
-        return self._append(number_rows(rows, [F.col("key"), F.col("value")], "n"))
+        with temporary(self.spark):
+            return self._append(number_rows(rows, [F.col("key"), F.col("value")], "n"))
 
     def drop_index(self, name: str) -> int:
         self._indexes.pop(name, None)
         rows = self._entry_rows(name, self.index(name).withColumn("change", F.lit("REMOVE")))
-        return self._append(number_rows(rows, [F.col("key"), F.col("value")], "n"))
+        with temporary(self.spark):
+            return self._append(number_rows(rows, [F.col("key"), F.col("value")], "n"))
 
     # --- tiers -------------------------------------------------------------------------------------------------------
 
