@@ -103,6 +103,21 @@ def test_fill_keeps_to_the_capacity(seed):
     assert len(used) <= 1.12 * len(first_fit)
 
 
+@pytest.mark.parametrize("low", [230, 200])
+def test_fill_searches_what_a_rise_passed_over(low):
+    sizes = np.random.default_rng(low).integers(low, 231, 1500)
+    assert len(np.bincount(pack.fill(sizes, 512))) == 750  # two texts a window
+
+
+def test_fill_ends_one_above_a_count_that_does_not_fit():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        sizes = np.concatenate([rng.integers(1, 513, 200), np.full(100, rng.integers(150, 257))])
+        k = len(np.bincount(pack.fill(sizes, 512)))
+        least = max(-(-int(sizes.sum()) // 512), int((sizes * 2 > 512).sum()))
+        assert k == least or pack.differencing(sizes, k - 1)[1].max() > 512
+
+
 def test_pack_divides_only_what_is_larger(spark):
     items = [(i, n) for i, n in enumerate([None, 0, 1, 99, 100, 101, 350, -5, 7, 7, 7])] + [(None, 3), (2, 4)]
     df = spark.createDataFrame([(*x, "clash") for x in items], "item long, tokens int, shard string")

@@ -3,7 +3,7 @@
 Texts are spread over shards of bounded size. In a shard, multiway differencing (Karmarkar and Karp) divides them into as
 many windows as their tokens need at least: of all partial partitions the two with the largest spread are merged, the
 fullest windows of the one with the emptiest of the other, which leaves near-equal windows. While a window exceeds the capacity the
-number of windows rises.
+number of windows rises; what the last rise passed over is then searched for a smaller number.
 """
 
 from __future__ import annotations
@@ -94,15 +94,24 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each size from 1 to capacity, no window over capacity, with few windows.
 
     The count starts at the least that can do. While a window is over the capacity it rises in proportion to the fullest
-    one, at least by one."""
+    one, at least by one; then the last rise is halved until the count that fits is one above a count that doesn't."""
     if not len(sizes):
         return np.zeros(0, dtype=np.int64)
     k = max(-(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()), 1)
+    below = k - 1
     while True:
         window, sums = differencing(sizes, k)
         if sums.max() <= capacity:
-            return window
-        k = min(max(k + 1, int(k * sums.max() / capacity)), len(sizes))
+            break
+        below, k = k, min(max(k + 1, int(k * sums.max() / capacity)), len(sizes))
+    while k - below > 1:
+        mid = (k + below) // 2
+        fewer, sums = differencing(sizes, mid)
+        if sums.max() <= capacity:
+            window, k = fewer, mid
+        else:
+            below = mid
+    return window
 
 
 def pack(df: DataFrame, item: str, tokens: str, capacities: dict[int, int], shards: int | None = None) -> DataFrame:
