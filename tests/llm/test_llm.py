@@ -244,6 +244,31 @@ def test_blanks_missing_and_passages_in_other_scripts():
     assert cut("मुद्दा है| One paper: “It fell. So.”. दूसरी बात यह है।") == ["मुद्दा है|", "One paper: “It fell. So.”.", "दूसरी बात यह है।"]
 
 
+ITEMS = [
+    ["(1) The fee rises.", "(2) It falls.", "(Applause.)", "(a) The rate stays.", "[3] Nobody pays.", "(iv) It ends.", "(12a) It is void."],
+    ["2.1. The fee rises.", "2.1.1. It falls.", "IV. The fee stays.", "II.) Nobody pays.", "1a. It ends.", "§ 5. It is void.", "– (b). It is late."],
+    ["(1) (a) The fee rises.", "1. IV. It falls.", "I. The price rose so.", "2.2.The blank is missing."],
+    ["(१) यह सच है।", "(क) पैसा नहीं है।"],
+    ["⑩. The fee rises.", "ⅰ. It falls.", "ⅱ It stays.", "ⓐ It ends.", "(Ⅳ) It is void."],
+]
+
+
+@pytest.mark.parametrize("units, joint", [(u, j) for u in ITEMS for j in (" ", "\n", "\n\n")] + [(["（１）予算です。", "（一）資料です。", "（ア）数字です。", "1．道です。", "（笑）", "次です。"], "")])
+def test_item_numbers_belong_to_their_sentences(units, joint):
+    assert cut(joint.join(units)) == units
+
+
+def test_list_levels_tell_numbers_from_words():
+    assert cut("(xlviii) One. (xlix) Two. (l) Three. (a) Four. (li) Five. (mix) Six.") == ["(xlviii) One.", "(xlix) Two.", "(l) Three.", "(a) Four.", "(li) Five.", "(mix)", "Six."]
+    assert cut("(l) One. (li) Two.") == ["(l) One.", "(li) Two."]
+    assert cut("(xxxix) One. (a) Two. (xl) Three. (b) Four.") == ["(xxxix) One.", "(a) Two.", "(xl) Three.", "(b) Four."]
+    assert cut("XXXIX. One.\n\nXL. Two. (2025) Three. MIX. Four.") == ["XXXIX. One.", "XL. Two.", "(2025)", "Three.", "MIX.", "Four."]
+    assert cut("(h) One. (i) Two. (1) In. (j) Three. (ii) Four.") == ["(h) One.", "(i) Two.", "(1) In.", "(j) Three.", "(ii) Four."]
+    assert cut("(999) One. (1000) Two.") == ["(999) One.", "(1000) Two."]
+    assert cut(f"({'1' * 9000}) One. {'2' * 9000}. Two.") == [f"({'1' * 9000})", "One.", f"{'2' * 9000}. Two."]
+    assert cut("It rose to\n(1) a point (2) and fell, under 112(b) too. (Laughter.) So be it.") == ["It rose to\n(1) a point (2) and fell, under 112(b) too.", "(Laughter.)", "So be it."]
+
+
 @pytest.mark.parametrize("text", ["", " ", "\n\n", " \t", None])
 def test_blank_texts_have_no_unit(text):
     assert sentences.unit_ends(text) == []

@@ -1,8 +1,9 @@
 """Sentence units of texts in many languages and scripts.
 
 A pushdown automaton walks over the marks of a paragraph: stops, quotation marks, brackets and line breaks. Quotation marks
-and brackets are pushed and popped, and a unit can end only where the stack is empty. The word before a full stop is looked
-up in an abbreviation trie; what stands after a stop decides the rest, by the text's script. Positions count code points.
+and brackets are pushed and popped, and a unit can end only where the stack is empty. A stack of list levels, kept over the
+whole text, tells item numbers at a unit's start, which belong to its sentence, from remarks and words. The word before a full stop
+is looked up in an abbreviation trie; what stands after a stop decides the rest, by the text's script. Positions count code points.
 """
 
 from __future__ import annotations
@@ -70,6 +71,43 @@ _BLANK = regex.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*")
 _EDGE = regex.compile(r"\S(?:.*\S)?", regex.DOTALL)
 _WORD = regex.compile(r"\p{L}+")
 _SPACE = regex.compile(r"\s*")
+_NUMERAL = r"\d{1,9}(?:[.．]\d{1,9})*[a-z]?|[ivxlcdm]+|[IVXLCDM]+|[一二三四五六七八九十百]+|[甲乙丙丁]|[\u2160-\u217f]+|[\u2460-\u24ff\u2776-\u2793\u3220-\u3247]|(?:(?![\p{Han}\p{Hiragana}])\p{L})(?:(?<=[a-z])[a-z]|(?<=[A-Z])[A-Z])?"
+_ITEM = regex.compile(
+    rf"(?:[-–—•·*]\s*)?(?:§+\s*)?(?:(?P<open>[{regex.escape(''.join(BRACKETS))}])\s*(?P<inner>{_NUMERAL})\s*(?P<close>[{regex.escape(''.join(BRACKETS.values()))}])[.．]?"
+    rf"|(?P<bare>{_NUMERAL})(?P<end>[.．]?[)）]|．(?!\d)|\.(?=\s|(?<=\d[a-z]?\.)\D)))(?![{regex.escape(_STOPS)}])"
+)
+_ROMAN = regex.compile(r"(m{0,3})(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
+_ROMAN_VALUE = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def numerals(word: str) -> list[tuple[str, tuple[int, ...], bool]]:
+    """Readings of an item number as (kind, value, sure). One that isn't sure (a year, a decimal, a Roman number that may be
+    a word) counts only where it goes on with a list."""
+    if word[0].isdecimal():
+        letter = word[-1] if word[-1].isalpha() else ""
+        parts = regex.split("[.．]", word[: len(word) - len(letter)])
+        value = (*map(int, parts), *([ord(letter) - 96] if letter else []))
+        sure = len(parts[0]) < 4 and all(len(x) < 3 for x in parts[1:]) and not any(len(x) > 1 and int(x[0]) == 0 for x in parts)
+        return [("1a" if letter else "1", value, sure)]
+    if word[0] in "一二三四五六七八九十百甲乙丙丁":
+        return [("甲" if word[0] in "甲乙丙丁" else "一", (0,), True)]
+    if not word[0].isalpha() or word[0].isnumeric():
+        return [("single", (0,), True)]  # numbers of one character, as circled ones and Roman numerals
+    low, case, found = word.lower(), "A" if word.isupper() else "a", []
+    if _ROMAN.fullmatch(low):
+        values = [_ROMAN_VALUE[c] for c in low]
+        total = sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
+        found.append((f"roman {case}", (total,), low == "i" or len(low) > 3 or (len(low) > 1 and set(low) <= set("ivx"))))
+    if len(set(low)) == 1:
+        found.append((f"letter {case}", (ord(low[0]) + 26 * (len(low) - 1),), len(low) == 1))
+    return found
+
+
+def follows(old: tuple[int, ...], new: tuple[int, ...]) -> bool:
+    """Whether an item number comes next in a list: 2.3 and 3 after 2.2.5, 2.2.1 after 2.2."""
+    if len(new) == len(old) + 1:
+        return new == (*old, 1)
+    return len(new) <= len(old) and new == (*old[: len(new) - 1], old[len(new) - 1] + 1)
 
 
 def trie(words: Iterable[str]) -> dict:
@@ -125,6 +163,7 @@ class Automaton:
     def __init__(self, text: str):
         self.text = text
         self.script, self.kana, self.german = script_of(text)
+        self.levels: list[dict[tuple[str, str, str], tuple[int, ...]]] = []
 
     def ends(self) -> Iterator[int]:
         at = 0
@@ -188,6 +227,26 @@ class Automaton:
         free = [f for f in flat if (k := bisect.bisect_right(opens, f[0]) - 1) < 0 or f[0] >= outer[k][1]]
         return sorted(outer + free)
 
+    def _numbered(self, at: int, stop: int, levels: list) -> int:
+        """End of the item numbers that begin at ``at``, or ``at``. A level holds the readings of its last number by form, levels
+        go from the outermost list in: a number that goes on with a list ends the lists within it, one of a new form opens a list."""
+        end = at
+        while (m := _ITEM.match(self.text, at, stop)) and (m["bare"] or BRACKETS[m["open"]] == m["close"]):
+            form = (m["open"] or "", m["close"] or m["end"])
+            readings = [((*form, kind), value, sure) for kind, value, sure in numerals(m["bare"] or m["inner"])]
+            for depth in range(len(levels) - 1, -1, -1):
+                if level := {f: v for f, v, _ in readings if f in levels[depth] and follows(levels[depth][f], v)}:
+                    break
+            else:
+                if not any(sure for _, _, sure in readings):
+                    break
+                level = {f: v for f, v, _ in readings}
+                depth = next((d for d, x in enumerate(levels) if x.keys() & level.keys()), len(levels))
+            levels[depth:] = [level]
+            end = m.end()
+            at = self._next(end, stop)
+        return end
+
     def _paragraph(self, start: int, stop: int) -> Iterator[int]:
         edge = _EDGE.search(self.text, start, stop)
         if not edge:
@@ -197,8 +256,9 @@ class Automaton:
         if (line := self._speaker(unit, start, stop)) is not None:
             yield line
             unit = self._next(line, stop)
+        head = self._numbered(unit, stop, self.levels)
         for a, b, kind in self._marks(start, stop):
-            if a < unit:
+            if a < head:
                 continue
             cut = getattr(self, "_" + kind)(unit, a, b, stop)
             while cut is not None and cut < stop:
@@ -207,6 +267,8 @@ class Automaton:
                 cut = self._speaker(unit, start, stop)
             if cut is not None:
                 break
+            if head < unit:
+                head = self._numbered(unit, stop, self.levels)
         if unit < stop:
             yield stop
 
@@ -222,8 +284,9 @@ class Automaton:
             return None
         end = at + len(line)
         # A sentence that ends within the line shows that it's running text.
+        head = self._numbered(at, end, list(self.levels))
         for a, b, kind in self._marks(at, end):
-            if kind == "stop" and self._stop(at, a, b, end) is not None:
+            if kind == "stop" and a >= head and self._stop(at, a, b, end) is not None:
                 return None
         return end
 
@@ -248,10 +311,10 @@ class Automaton:
     def _begins(self, at: int, stop: int) -> bool:
         """Whether a sentence in Latin script can begin here."""
         c = self.text[at]
-        if c.islower():
-            word = _WORD.match(self.text, at, stop)[0]
+        if c.islower() and (m := _WORD.match(self.text, at, stop)):
+            word = m[0]
             return word in NOBILIARY and (n := self._next(at + len(word), stop)) < stop and self.text[n].isupper()
-        return c.isalnum() or c in _OPENING or c in "¿¡§—–-"
+        return c.isalnum() or c in _OPENING or c in "¿¡§—–-" or "\u2460" <= c <= "\u24ff"
 
     def _quote(self, unit: int, a: int, b: int, stop: int) -> int | None:
         """A quotation that ends in a stop ends the unit if what follows doesn't go on with it."""
