@@ -244,6 +244,19 @@ def test_blanks_missing_and_passages_in_other_scripts():
     assert cut("मुद्दा है| One paper: “It fell. So.”. दूसरी बात यह है।") == ["मुद्दा है|", "One paper: “It fell. So.”.", "दूसरी बात यह है।"]
 
 
+def test_speaker_lines_of_any_length():
+    long = "Mrs. Ann V. Krom, Minister for Harbours, Fisheries and Night Trains, on behalf of the Works Committee of Vell and Dorn (HU):"
+    assert cut(f"{long}\nThe price rose.") == [long, "The price rose."]
+    assert cut(f"The price rose.\nIt fell\n{long}\nNobody pays.") == ["The price rose.", "It fell", long, "Nobody pays."]
+    full = "This government asked the committee of Lemape to publish what it knows and"
+    assert cut(f"{full}\nMrs. Ann Yarrow-Krom, Minister for Harbours and Fisheries (HU):\nNobody pays.") == [full, "Mrs. Ann Yarrow-Krom, Minister for Harbours and Fisheries (HU):", "Nobody pays."]
+
+
+@pytest.mark.parametrize("text", ["This government asked the committee of Lemape to publish what\nGakeda wrote last year:\nthe price rose.", "Frankly, this government set aside 25.3 million crowns (An hon. member:\nShame!) for pumps.", "On the second question before us:\nthe committee cannot accept it."])
+def test_wrapped_text_is_no_speaker_line(text):
+    assert cut(text + " It fell.") == [text, "It fell."]
+
+
 ITEMS = [
     ["(1) The fee rises.", "(2) It falls.", "(Applause.)", "(a) The rate stays.", "[3] Nobody pays.", "(iv) It ends.", "(12a) It is void."],
     ["2.1. The fee rises.", "2.1.1. It falls.", "IV. The fee stays.", "II.) Nobody pays.", "1a. It ends.", "§ 5. It is void.", "– (b). It is late."],

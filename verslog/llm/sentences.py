@@ -58,8 +58,8 @@ NOBILIARY = ("von", "van")
 GERMAN = frozenset("der die das und nicht den dem ein eine zu von mit auf für ist des im am wir uns hat wie ich sie aus".split())
 OTHER = frozenset("the of and to a in is that le la les et du que un une el los y en las por".split())
 
-#: A line of its own that ends in a colon is a speaker line up to this length.
-SPEAKER_LINE = 100
+#: Lower-case words of names, titles and offices.
+OF_NAMES = frozenset((*NOBILIARY, *"der den dem des die das und für im am zu zum zur of the for and on in at to hon de del la las le les el los du da do et y e pour por señor señora presidente presidenta président présidente ministre ministro ministra".split()))
 
 _CLOSING = "".join(sorted({c for x in (*BRACKETS.values(), *QUOTES.values()) for c in x}))
 _QUOTE_ENDS = "".join(QUOTES.values())
@@ -253,11 +253,14 @@ class Automaton:
             return
         start, stop = edge.span()
         unit = start
+        marks = self._marks(start, stop)
+        self.pairs = [(a, b) for a, b, kind in marks if kind in ("bracket", "quote")]
+        self.width = max(len(x.strip()) for x in self.text[start:stop].split("\n"))
         if (line := self._speaker(unit, start, stop)) is not None:
             yield line
             unit = self._next(line, stop)
         head = self._numbered(unit, stop, self.levels)
-        for a, b, kind in self._marks(start, stop):
+        for a, b, kind in marks:
             if a < head:
                 continue
             cut = getattr(self, "_" + kind)(unit, a, b, stop)
@@ -280,9 +283,14 @@ class Automaton:
         brk = text.find("\n", at, stop)
         end = stop if brk < 0 else brk
         line = text[at:end].rstrip()
-        if not line or line[-1] not in ":：" or len(line) > SPEAKER_LINE or line[0] in BRACKETS or line[0] in QUOTES:
+        if not line or line[-1] not in ":：" or line[0] in BRACKETS or line[0] in QUOTES:
             return None
         end = at + len(line)
+        if (k := bisect.bisect_left(self.pairs, (end,)) - 1) >= 0 and end < self.pairs[k][1]:
+            return None  # the colon is that of a remark or quotation
+        after = self._next(end, stop)
+        if after < stop and text[after].islower() and not self._begins(after, stop) and not self._named(at, end):
+            return None  # running text, which goes on in the next line
         # A sentence that ends within the line shows that it's running text.
         head = self._numbered(at, end, list(self.levels))
         for a, b, kind in self._marks(at, end):
@@ -291,11 +299,24 @@ class Automaton:
         return end
 
     def _line(self, unit: int, a: int, b: int, stop: int) -> int | None:
-        """A speaker line ends the unit before it even if that has no stop."""
+        """A speaker line ends the unit before it even if that has no stop, unless the break may be one of wrapped text."""
         at = self._next(b, stop)
-        line = self._speaker(at, unit, stop)
-        starts = line is not None and line - at < SPEAKER_LINE // 2 and (self.text[at].isupper() or self._script(at, 1))
-        return len(self.text[:a].rstrip()) if starts else None
+        if (line := self._speaker(at, unit, stop)) is None or not (self.text[at].isupper() or self._script(at, 1)):
+            return None
+        before = self.text[self.text.rfind("\n", 0, a) + 1 : a].strip()
+        return len(self.text[:a].rstrip()) if self._fits(before, self.text[at:line]) or self._named(at, line) else None
+
+    def _fits(self, before: str, line: str) -> bool:
+        """Whether a line's first word had room on the line before, so that the break between them isn't one of wrapped text. A
+        tenth of the paragraph's width is left for blanks and characters that were lost or added after wrapping."""
+        return len(before) + 1 + len(line.split()[0]) <= 0.9 * self.width
+
+    def _named(self, at: int, end: int) -> bool:
+        """Whether a line reads as a name with titles and offices; in scripts without capitals, whether it has no clauses."""
+        line = self.text[at:end]
+        if self._script(at, 1):
+            return not any(c in "、，,;；" for c in line)
+        return all(w[0].isupper() or w in OF_NAMES for w in _WORD.findall(line))
 
     def _particle(self, unit: int, a: int, b: int, stop: int) -> int | None:
         return b
