@@ -7,9 +7,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from verslog.operators import txn
 from verslog.operators.scan import Scan
 from verslog.sources import backup
-from verslog.sources.store import Closed, Config, KeyDeleted, KeyNotFound, Store, StoreError, TxnClosed, TxnConflict, TxnTooLarge
+from verslog.sources.store import Closed, Config, KeyDeleted, KeyNotFound, RunLost, Store, StoreError, TxnClosed, TxnConflict, TxnTooLarge
 
 
 @pytest.fixture
@@ -140,7 +141,155 @@ def test_transactions(store, spark):
     with pytest.raises(TxnTooLarge):
         c.put(b"x", b"")
     c.rollback()
-    c.rollback()
+    with pytest.raises(TxnClosed):
+        c.rollback()
+
+
+@pytest.mark.parametrize("fold", ["flush", "compact", "bottom"])
+def test_a_flush_between_read_and_commit_hides_no_conflict(store, spark, fold):
+    store.batch([(b"k", b"%d" % i) for i in range(8)])
+    t = store.begin()
+    assert t.get(b"k") == b"7"
+    other = Store(spark, store.folder, Config(l0_runs=2))  # pins nothing
+    other.put(b"k", b"theirs")
+    if fold == "bottom":
+        other.delete(b"k")
+    other.flush()
+    if fold != "flush":
+        other.compact(to_bottom=fold == "bottom")
+    t.put(b"k", b"mine")
+    with pytest.raises(TxnConflict):
+        t.commit()
+    quiet = store.begin()  # what is folded but not changed is no conflict
+    store.put(b"other", b"1")
+    quiet.get(b"k") if fold != "bottom" else None
+    store.flush()
+    store.compact()
+    quiet.put(b"k", b"next")
+    quiet.commit()
+    assert store.get(b"k") == b"next"
+
+
+def test_transactions_over_families_and_counters(store):
+    store.create_family("f")
+    store.put(b"k", b"in f", "f")
+    store.put(b"k", b"in default")
+    store.write(store.spark.createDataFrame([(b"null", None, False)], "key binary, value binary, tombstone boolean"))
+    t = store.begin()
+    assert (t.get(b"k", "f"), t.get(b"k"), t.get(b"null")) == (b"in f", b"in default", None)
+    t.put(b"k", b"new", "f")
+    t.delete(b"k")
+    assert (t.read_count, t.write_count, t.get(b"k", "f")) == (3, 2, b"new")
+    with pytest.raises(KeyDeleted):
+        t.get(b"k")
+    t.commit()
+    assert store.get(b"k", family="f") == b"new"
+    with pytest.raises(KeyDeleted):
+        store.get(b"k")
+    a = store.begin()
+    a.get(b"k", "f")
+    store.put(b"k", b"other family")  # another family's key is another key
+    a.put(b"x", b"1")
+    a.commit()
+    b = store.begin()
+    b.get(b"k", "f")
+    store.put(b"k", b"changed", "f")
+    b.put(b"x", b"2")
+    with pytest.raises(TxnConflict):
+        b.commit()
+
+
+def test_the_log_has_transaction_markers_until_it_is_folded(store):
+    store.put(b"a", b"1")
+    t = store.begin()
+    t.put(b"b", b"2")
+    t.delete(b"a")
+    t.commit()
+    log = [(r.kind, r.seq, bytes(r.key) if r.key else None, r.txn_id > 0) for r in store.wal().orderBy("seq").collect()]
+    assert log == [(0, 1, b"a", False), (2, 2, None, True), (0, 3, b"b", True), (1, 4, b"a", True), (3, 5, None, True)]
+    assert {(bytes(r.key), r.seq) for r in txn.replay(store.wal(), []).collect()} == {(b"a", 1), (b"b", 3), (b"a", 4)}
+    assert [r.seq for r in store.wal(after=3).orderBy("seq").collect()] == [4, 5]
+    store.flush()
+    assert sorted((r.kind, r.seq) for r in store.wal().collect()) == [(0, 3), (1, 4)]
+    assert values(store.scan()) == {"b": "2"}
+
+
+def test_writes_flush_memory_when_it_is_full(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db", Config(mem_runs=3, l0_runs=2))
+    for i in range(7):
+        store.put(b"k%d" % i, b"v")
+    levels = [r.level for r in store.manifest.runs]
+    assert levels.count(0) == 1 and len(levels) == 2 and store.manifest.last_seq == 7
+    assert keys(store.scan()) == [f"k{i}" for i in range(7)]
+    small = Store(spark, f"file://{tmp_path}/small", Config(mem_bytes=1))
+    small.put(b"a", b"1")
+    assert [r.level for r in small.manifest.runs] == [1]
+
+
+def test_cleaning_up_while_a_writer_is_between_run_and_commit(store, spark):
+    store.put(b"a", b"1")
+    other = Store(spark, store.folder)
+    at_work = store._write_run
+
+    def write_run(rows, level):
+        run = at_work(rows, level)
+        other.vacuum()  # spares the young run
+        return run
+
+    store._write_run = write_run
+    store.put(b"b", b"2")
+    assert keys(store.scan()) == ["a", "b"]
+
+    def lose_run(rows, level):
+        run = at_work(rows, level)
+        other.vacuum(grace_s=-10)
+        return run
+
+    store._write_run = lose_run
+    with pytest.raises(RunLost):
+        store.put(b"c", b"3")
+    store._write_run = at_work
+    store.put(b"d", b"4")
+    assert keys(Store(spark, store.folder).scan()) == ["a", "b", "d"]
+    store.flush()
+    assert store.vacuum() >= 3 and store.vacuum() == 0
+    assert keys(store.scan()) == ["a", "b", "d"] and not store.manifest.retired and not store.manifest.doomed
+
+
+def test_shared_pins_bind_other_processes(store, spark):
+    store.put(b"k", b"1")
+    pin = store.snapshot(shared=True)
+    other = Store(spark, store.folder)
+    other.put(b"k", b"2")
+    other.flush()
+    other.compact(to_bottom=True)
+    store.refresh()
+    assert store.get(b"k", pin.seq) == b"1"
+    pin.release()
+    other.put(b"x", b"1")
+    other.flush()
+    other.compact(to_bottom=True)
+    store.refresh()
+    with pytest.raises(KeyNotFound):
+        store.get(b"k", pin.seq)
+
+
+def test_reads_delete_expired_keys_if_asked_to(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db", Config(lazy_expiry=True))
+    store.put_until(b"k", b"v", 100)
+    assert store.get(b"k", now_ns=99) == b"v"
+    with pytest.raises(KeyNotFound):
+        store.get(b"k", now_ns=100)
+    with pytest.raises(KeyDeleted):
+        store.get(b"k")
+    with pytest.raises(KeyNotFound):
+        store.ttl_of(b"k", 100)
+    store.put_until(b"k", b"v", 100)
+    Store(spark, store.folder).put_until(b"k", b"renewed", 500)  # between the read and the deletion
+    with pytest.raises(KeyNotFound):
+        store.get(b"k", now_ns=100)
+    store.refresh()
+    assert store.get(b"k", now_ns=100) == b"renewed"
 
 
 def test_two_writers_get_different_seqs(store, spark):

@@ -3,12 +3,15 @@
 A commit writes its run first and then creates the next manifest exclusively; of two writers that start from the same
 manifest one fails, reads the newer one and tries again, a transaction after it was validated anew. Runs are never changed. Rows of
 a run are numbered from 1, and the manifest says at which sequence number the run begins, so a commit that has to be tried again
-needn't rewrite its rows.
+needn't rewrite its rows. A run is removed only after a manifest named it doomed, and a commit of a doomed or missing run fails, so
+cleaning up and writing may go on at the same time.
 """
 
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from verslog.commits import CommitLog, LostRace
-from verslog.operators import bloom, index, merge, resolve, scan, ttl, txn
+from verslog.operators import bloom, changes, index, merge, resolve, scan, ttl, txn
 from verslog.operators.families import check_name
 from verslog.operators.index import KeyFn
 from verslog.operators.order import number_rows
@@ -25,8 +28,9 @@ from verslog.session import temporary
 from verslog.sources import backup
 
 _ROW = "family string, key binary, value binary, tombstone boolean, expire_at_ns long, kind string, txn_id long, n long"
-#: Kinds of rows besides data: deadlines and index entries (value: index key; family: name of the index).
-DATA, TTL, ENTRY = "d", "t", "x"
+#: Kinds of rows besides data: deadlines, index entries (value: index key; family: name of the index), and the begin and commit
+#: of a transaction.
+DATA, TTL, ENTRY, BEGIN, COMMIT = "d", "t", "x", "b", "c"
 
 
 class StoreError(Exception):
@@ -57,16 +61,30 @@ class TxnTooLarge(StoreError):
     pass
 
 
+class RunLost(StoreError):
+    """The run of a commit was cleaned up before the commit; the write has to be done again."""
+
+
+class Raced(StoreError):
+    """Other runs than those that were folded are there now."""
+
+
 @dataclass(frozen=True)
 class Config:
-    """Thresholds and codecs; memory is the tier of small, just written runs."""
+    """Thresholds and codecs; memory is the tier of small, just written runs. A write that brings it to ``mem_bytes`` or ``mem_runs``
+    flushes it. ``grace_s`` is the age from which a run without a commit is taken for that of a dead writer, ``patience_s`` the time
+    for which a commit is tried. With ``lazy_expiry`` a read that meets an expired key deletes it."""
 
     mem_bytes: int = 64 << 20
+    mem_runs: int = 64
     l0_runs: int = 4
     l1_bytes: int = 256 << 20
     codecs: tuple[str, str, str, str] = ("snappy", "snappy", "snappy", "zstd")
     bloom_rate: float = bloom.FPR_TARGET
     target_file_bytes: int = 256 << 20
+    grace_s: float = 24 * 3600.0
+    patience_s: float = 300.0
+    lazy_expiry: bool = False
 
 
 @dataclass
@@ -77,6 +95,7 @@ class Run:
     rows: int
     bytes: int
     latest_only: bool = False
+    max_seq: int = 0
 
 
 @dataclass
@@ -86,15 +105,27 @@ class Manifest:
     last_txn: int = 0
     families: list[str] = field(default_factory=list)
     runs: list[Run] = field(default_factory=list)
+    #: Folded runs that are still there, runs that are being removed, and shared pins by their id.
+    retired: list[str] = field(default_factory=list)
+    doomed: list[str] = field(default_factory=list)
+    pins: dict[str, int] = field(default_factory=dict)
+    #: Deletions up to this seq may be gone from the bottom tier.
+    collected: int = 0
+
+    def copy(self) -> Manifest:
+        return Manifest(**{k: v.copy() if isinstance(v, list | dict) else v for k, v in vars(self).items()})
 
 
 class Snapshot:
     """A pinned sequence number; compaction keeps what it sees until it is released as often as it was taken. Pins are known to the
-    process that took them, so the process that compacts should be the one that hands out snapshots."""
+    process that took them, shared ones to all processes: they are in the manifest, and taking and releasing them are commits."""
 
-    def __init__(self, store: Store, seq: int):
-        self.store, self.seq, self.refs = store, seq, 1
-        store._pins.append(self)
+    def __init__(self, store: Store, seq: int, shared: bool = False):
+        self.store, self.seq, self.refs, self.id = store, seq, 1, uuid.uuid4().hex if shared else None
+        if shared:
+            store._commit(lambda m: m.pins.update({self.id: seq}))
+        else:
+            store._pins.append(self)
 
     def retain(self) -> Snapshot:
         self.refs += 1
@@ -102,7 +133,9 @@ class Snapshot:
 
     def release(self) -> None:
         self.refs -= 1
-        if self.refs == 0:
+        if self.refs == 0 and self.id is not None:
+            self.store._commit(lambda m: m.pins.pop(self.id, None))
+        elif self.refs == 0:
             self.store._pins.remove(self)
 
 
@@ -128,23 +161,35 @@ class Store:
         return Manifest()
 
     def refresh(self) -> Manifest:
-        self.manifest = self._newest_manifest()
+        """The newest manifest: the ones after the known one are read on, as their numbers have no gaps."""
+        while (text := self._log.read(self.manifest.version + 1)) is not None:
+            raw = json.loads(text)
+            self.manifest = Manifest(**(raw | {"runs": [Run(**r) for r in raw["runs"]]}))
         return self.manifest
 
     def _commit(self, change) -> Manifest:
-        """change(newest manifest) gives the next one."""
+        """change(copy of the newest manifest) makes it the next one."""
         self._writable()
-        for _ in range(100):
-            now = self.refresh()
-            nxt = change(Manifest(**(asdict(now) | {"runs": list(now.runs), "families": list(now.families)})))
-            nxt.version = now.version + 1
+        until, pause = time.monotonic() + self.config.patience_s, 0.01
+        while True:
+            nxt = self.refresh().copy()
+            change(nxt)
+            nxt.version += 1
             try:
                 self._log.create(nxt.version, json.dumps(asdict(nxt)))
             except LostRace:
+                if time.monotonic() > until:
+                    raise StoreError("other writers commit all the time") from None
+                time.sleep(pause * random.random())
+                pause = min(2 * pause, 1.0)
                 continue
             self.manifest = nxt
             return nxt
-        raise StoreError("other writers commit all the time")
+
+    def _present(self, m: Manifest, run: Run) -> None:
+        """A commit may name a run only if no manifest doomed it and its folder is there; a later removal sees the commit."""
+        if run.path in m.doomed or not self._fs.exists(self._Path(f"{self.folder}/{run.path}")):
+            raise RunLost(run.path)
 
     def _writable(self) -> None:
         if self._closed:
@@ -156,20 +201,30 @@ class Store:
         path = f"runs/{uuid.uuid4().hex}"
         seen = Observation()
         size = F.coalesce(F.sum(merge.entry_bytes(merge.MEM_OVERHEAD)), F.lit(0)).alias("bytes")
-        writer = rows.observe(seen, size).write.option("compression", self.config.codecs[level])
+        writer = rows.observe(seen, size, F.coalesce(F.max("n"), F.lit(0)).alias("last")).write.option("compression", self.config.codecs[level])
         if level > merge.MEM:  # readers skip row groups whose filter lacks the key
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_rate))
         writer.parquet(f"{self.folder}/{path}")
         n = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}").count()  # from the footers
-        return Run(path, level, 0, n, seen.get["bytes"])
+        return Run(path, level, 0, n, seen.get["bytes"], max_seq=seen.get["last"])
 
-    def _read(self, runs: list[Run] | None = None, kind: str = DATA) -> DataFrame:
-        """All rows of some runs with their seq and level. The kind is a column that Parquet statistics prune by."""
+    def _rows_of(self, runs: list[Run]) -> DataFrame:
         out = self.spark.createDataFrame([], self._schema).withColumns({"seq": F.lit(0).cast("long"), "level": F.lit(0)})
-        for r in self.manifest.runs if runs is None else runs:
+        for r in runs:
             part = self.spark.read.schema(self._schema).parquet(f"{self.folder}/{r.path}")
             out = out.unionByName(part.withColumns({"seq": F.col("n") + F.lit(r.base), "level": F.lit(r.level)}))
-        return out.where(F.col("kind") == kind).drop("kind", "n")
+        return out
+
+    def _read(self, runs: list[Run] | None = None, kind: str = DATA) -> DataFrame:
+        """All rows of some runs with their seq and level. The kind is a column that Parquet statistics prune by."""
+        return self._rows_of(self.manifest.runs if runs is None else runs).where(F.col("kind") == kind).drop("kind", "n")
+
+    def wal(self, after: int = 0) -> DataFrame:
+        """Log records (kind, seq, txn_id, family, key, value, tombstone) above a seq: puts and deletes, and the begin and commit of
+        transactions as far as they aren't folded yet. Runs that end before are not read."""
+        rows = self._rows_of([r for r in self.manifest.runs if r.max_seq > after]).where((F.col("seq") > after) & F.col("kind").isin(DATA, BEGIN, COMMIT))
+        kind = F.when(F.col("kind") == BEGIN, changes.BEGIN).when(F.col("kind") == COMMIT, changes.COMMIT).when(F.col("tombstone"), changes.DELETE).otherwise(changes.PUT)
+        return rows.select(kind.cast("tinyint").alias("kind"), "seq", "txn_id", "family", "key", "value", "tombstone")
 
     def log(self, family: str | None = "") -> DataFrame:
         """All versions of a family, or of all with None: (family, key, value, seq, tombstone, txn_id, level)."""
@@ -202,17 +257,19 @@ class Store:
         if run.rows == 0 and families is None:
             return self.manifest.last_seq
 
-        def change(m: Manifest) -> Manifest:
+        def change(m: Manifest) -> None:
+            self._present(m, run)
             if check:
                 check(m)
-            m.runs.append(Run(run.path, run.level, m.last_seq, run.rows, run.bytes))
+            m.runs.append(Run(run.path, run.level, m.last_seq, run.rows, run.bytes, max_seq=m.last_seq + run.rows))
             m.last_seq += run.rows
             m.last_txn += 1
             if families:
                 m.families = families(m.families)
-            return m
 
-        return self._commit(change).last_seq
+        last = self._commit(change).last_seq
+        self.flush_if_full()
+        return last
 
     def _small(self, rows: list[tuple], kind: str = DATA) -> DataFrame:
         """A few rows (family, key, value, tombstone, expire_at_ns, kind) in order."""
@@ -235,6 +292,8 @@ class Store:
         row = self._one(key, at, family, now_ns)
         if row.status == "FOUND":
             return bytes(row.value) if row.value is not None else None
+        if row.status == "EXPIRED" and self.config.lazy_expiry and not self.read_only:
+            self._expire(key, family, now_ns)
         raise (KeyDeleted if row.status == "DELETED" else KeyNotFound)(key)
 
     def _one(self, key: bytes, at: int | None = None, family: str = "", now_ns: int | None = None):
@@ -259,8 +318,8 @@ class Store:
     def seq_at(self, key: bytes, at: int, family: str = "") -> int:
         return resolve.seq_at(self.log(family), self.spark.createDataFrame([(key,)], "key binary"), at).first().seq
 
-    def snapshot(self) -> Snapshot:
-        return Snapshot(self, self.refresh().last_seq)
+    def snapshot(self, shared: bool = False) -> Snapshot:
+        return Snapshot(self, self.refresh().last_seq, shared)
 
     def stats(self) -> DataFrame:
         return merge.tier_stats(self._read())
@@ -276,7 +335,7 @@ class Store:
     def create_family(self, name: str) -> None:
         check_name(name)
         if name not in self.refresh().families:
-            self._commit(lambda m: Manifest(**(asdict(m) | {"runs": m.runs, "families": sorted({*m.families, name})})))
+            self._commit(lambda m: setattr(m, "families", sorted({*m.families, name})))
 
     def families(self) -> list[str]:
         return sorted(self.refresh().families)
@@ -322,6 +381,20 @@ class Store:
             raise KeyNotFound(key)
         return row.remaining_ns
 
+    def _expire(self, key: bytes, family: str, now_ns: int) -> None:
+        """Deletes an expired key and its deadline, unless it was written or given a new deadline since it was read."""
+        known = self.manifest.last_seq
+
+        def check(m: Manifest) -> None:
+            new = [r for r in m.runs if r.max_seq > known]
+            if new and not self._rows_of(new).where((F.col("seq") > known) & (F.col("family") == family) & (F.col("key") == F.lit(key)) & F.col("kind").isin(DATA, TTL)).isEmpty():
+                raise TxnConflict("the key was written")
+
+        try:
+            self._append(self._small([(family, key, None, True, None, DATA), (family, key, None, True, None, TTL)]), check)
+        except TxnConflict:
+            pass
+
     def reap(self, now_ns: int, family: str = "") -> int:
         """Deletes keys, and their deadlines, that are over; returns the last seq."""
         over = ttl.reap(self._ttl_log(family), now_ns).select("key", F.lit(True).alias("tombstone"))
@@ -390,19 +463,14 @@ class Store:
 
     # --- tiers -------------------------------------------------------------------------------------------------------
 
-    def _fold(self, runs: list[Run], level: int, bottom: bool) -> Run | None:
+    def _fold(self, runs: list[Run], level: int, bottom: bool) -> Run:
         """One run of several: per row's identity (kind, family, key, and the index key of entries) what pins and the present
         see, sorted by key in ranges of the target file size."""
-        pins = sorted({p.seq for p in self._pins})
-        rows = None
-        for r in runs:
-            part = self.spark.read.schema(self._schema).parquet(f"{self.folder}/{r.path}").withColumn("n", F.col("n") + F.lit(r.base))
-            rows = part if rows is None else rows.unionByName(part)
-        if rows is None:
-            return None
+        pins = sorted({*(p.seq for p in self._pins), *self.manifest.pins.values()})
+        rows = self._rows_of(runs).where(~F.col("kind").isin(BEGIN, COMMIT)).withColumn("n", F.col("seq"))
         name = F.when(F.col("kind") == ENTRY, F.col("value"))
         order = F.struct("n", "tombstone", "value", "expire_at_ns", "txn_id")
-        kept = rows.withColumn("seq", F.col("n")).withColumn("band", merge.band(pins)).groupBy("kind", "family", "key", name.alias("entry"), "band").agg(F.max(order).alias("v")).select("kind", "family", "key", "v.*")
+        kept = rows.withColumn("band", merge.band(pins)).groupBy("kind", "family", "key", name.alias("entry"), "band").agg(F.max(order).alias("v")).select("kind", "family", "key", "v.*")
         if bottom:
             kept = kept.where(~(F.col("tombstone") & (F.col("n") < (min(pins) if pins else merge.NOTHING_PINNED))))
         files = max(1, -(-sum(r.bytes for r in runs) // self.config.target_file_bytes))
@@ -410,62 +478,74 @@ class Store:
         run.latest_only = not pins
         return run
 
-    def _replace(self, level_from: set[int], level: int, bottom: bool) -> None:
+    def _replace(self, old: list[Run], level: int, bottom: bool) -> None:
+        """Puts one run in the place of several. Fails with Raced if another process folded one of them meanwhile."""
         self._writable()
-        old = [r for r in self.refresh().runs if r.level in level_from | {level}]
         if not old:
             return
+        pinned, upto = set(self.manifest.pins), self.manifest.last_seq
         run = self._fold(old, level, bottom)
-        gone = {r.path for r in old}
-
-        def change(m: Manifest) -> Manifest:
-            if not gone <= {r.path for r in m.runs}:
-                raise StoreError("the runs were compacted by another writer")
+        gone = [r.path for r in old]
+
+        def change(m: Manifest) -> None:
+            self._present(m, run)
+            if not set(gone) <= {r.path for r in m.runs}:
+                raise Raced("the runs were folded by another writer")
+            if any(seq < upto for p, seq in m.pins.items() if p not in pinned):
+                raise Raced("a snapshot was pinned meanwhile")
             m.runs = [r for r in m.runs if r.path not in gone] + ([run] if run.rows else [])
-            return m
+            m.retired += gone
+            if bottom:
+                m.collected = max(m.collected, *(r.max_seq for r in old))
 
         self._commit(change)
 
     def flush(self) -> None:
         """Memory runs become one run of the first tier; that tier is compacted once it has enough runs."""
         self._writable()
-        old = [r for r in self.refresh().runs if r.level == merge.MEM]
-        if not old:
-            return
-        run = self._fold(old, merge.L0, bottom=False)
-        gone = {r.path for r in old}
-
-        def change(m: Manifest) -> Manifest:
-            if not gone <= {r.path for r in m.runs}:
-                raise StoreError("the runs were flushed by another writer")
-            m.runs = [r for r in m.runs if r.path not in gone] + ([run] if run.rows else [])
-            return m
-
-        self._commit(change)
+        self._replace([r for r in self.refresh().runs if r.level == merge.MEM], merge.L0, bottom=False)
         if sum(r.level == merge.L0 for r in self.manifest.runs) >= self.config.l0_runs:
             self.compact()
 
+    def full(self) -> bool:
+        mem = [r for r in self.manifest.runs if r.level == merge.MEM]
+        return len(mem) >= self.config.mem_runs or sum(r.bytes for r in mem) >= self.config.mem_bytes
+
     def flush_if_full(self) -> bool:
-        full = sum(r.bytes for r in self.refresh().runs if r.level == merge.MEM) >= self.config.mem_bytes
-        if full:
+        """Every write ends with this. That another process flushes at the same time is no error."""
+        if not self.full():
+            return False
+        try:
             self.flush()
-        return full
+        except Raced:
+            self.refresh()
+        return True
 
     def compact(self, to_bottom: bool = False) -> None:
         """First tier into the second, and the second into the bottom once it is large enough or if asked for. Tombstones go only
         at the bottom."""
-        self._replace({merge.L0}, merge.L1, bottom=False)
-        if to_bottom or sum(r.bytes for r in self.manifest.runs if r.level == merge.L1) >= self.config.l1_bytes:
-            self._replace({merge.L1}, merge.L2, bottom=not any(r.level > merge.L2 for r in self.manifest.runs))
-
-    def vacuum(self) -> int:
-        """Removes folders of runs that the newest manifest doesn't name; readers of older manifests must be done."""
-        keep = {r.path.split("/")[1] for r in self.refresh().runs}
+        tier = lambda *levels: [r for r in self.refresh().runs if r.level in levels]
+        if tier(merge.L0):
+            self._replace(tier(merge.L0, merge.L1), merge.L1, bottom=False)
+        if to_bottom or sum(r.bytes for r in tier(merge.L1)) >= self.config.l1_bytes:
+            self._replace(tier(merge.L1, merge.L2), merge.L2, bottom=not any(r.level > merge.L2 for r in self.manifest.runs))
+
+    def vacuum(self, grace_s: float | None = None) -> int:
+        """Removes folded runs, and runs without a commit that are older than ``grace_s``; returns how many. They're named doomed in
+        a manifest first, so that no commit can name them any more. Readers of older manifests must be done."""
         at = self._Path(self.folder + "/runs")
-        drop = [s.getPath() for s in self._fs.listStatus(at) if s.getPath().getName() not in keep] if self._fs.exists(at) else []
-        for p in drop:
-            self._fs.delete(p, True)
-        return len(drop)
+        oldest = time.time() - (self.config.grace_s if grace_s is None else grace_s)
+        found = {f"runs/{s.getPath().getName()}": s.getModificationTime() / 1000 for s in self._fs.listStatus(at)} if self._fs.exists(at) else {}
+
+        def change(m: Manifest) -> None:
+            named = {r.path for r in m.runs}
+            m.doomed = sorted(p for p, written in found.items() if p not in named and (p in m.retired or p in m.doomed or written < oldest))
+            m.retired = sorted((set(m.retired) - set(m.doomed)) & set(found))
+
+        doomed = self._commit(change).doomed if found else []
+        for p in doomed:
+            self._fs.delete(self._Path(f"{self.folder}/{p}"), True)
+        return len(doomed)
 
     # --- backup and end ----------------------------------------------------------------------------------------------
 
@@ -485,43 +565,52 @@ class Store:
 
 
 class Txn:
-    """An optimistic transaction over the default family: reads its own writes, else its snapshot; commits if no key that it read
-    has changed since."""
+    """An optimistic transaction over all families: reads its own writes, else its snapshot; commits if no key that it read has
+    changed since. In the log its operations stand between a begin and a commit."""
 
     def __init__(self, store: Store):
         self.store, self.snapshot = store, store.snapshot()
-        self.reads: dict[bytes, int] = {}
-        self.writes: list[tuple[bytes, bytes | None]] = []
+        self.reads: dict[tuple[str, bytes], int] = {}
+        self.writes: list[tuple[str, bytes, bytes | None]] = []
+        self._own: dict[tuple[str, bytes], bytes | None] = {}
         self._open = True
 
     @property
     def snap_seq(self) -> int:
         return self.snapshot.seq
 
+    @property
+    def write_count(self) -> int:
+        return len(self.writes)
+
+    @property
+    def read_count(self) -> int:
+        """Keys that commit will validate."""
+        return len(self.reads)
+
     def _check(self) -> None:
         if not self._open:
             raise TxnClosed("the transaction is over")
 
-    def get(self, key: bytes) -> bytes:
+    def get(self, key: bytes, family: str = "") -> bytes | None:
         self._check()
-        for k, v in reversed(self.writes):
-            if k == key:
-                if v is None:
-                    raise KeyDeleted(key)
-                return v
-        row = self.store._one(key, self.snap_seq)
-        self.reads.setdefault(key, row.seq or 0)
+        if (family, key) in self._own:
+            if (value := self._own[family, key]) is None:
+                raise KeyDeleted(key)
+            return value
+        row = self.store._one(key, self.snap_seq, family)
+        self.reads.setdefault((family, key), row.seq or 0)
         if row.status != "FOUND":
             raise (KeyDeleted if row.status == "DELETED" else KeyNotFound)(key)
-        return bytes(row.value)
+        return None if row.value is None else bytes(row.value)
 
-    def put(self, key: bytes, value: bytes) -> None:
-        self._buffer(key, value)
+    def put(self, key: bytes, value: bytes, family: str = "") -> None:
+        self._buffer(key, value, family)
 
-    def delete(self, key: bytes) -> None:
-        self._buffer(key, None)
+    def delete(self, key: bytes, family: str = "") -> None:
+        self._buffer(key, None, family)
 
-    def _buffer(self, key: bytes, value: bytes | None) -> None:
+    def _buffer(self, key: bytes, value: bytes | None, family: str) -> None:
         self._check()
         if not key or len(key) > txn.MOST_KEY_BYTES:
             raise TxnTooLarge("a key must have 1 to 8192 bytes")
@@ -529,28 +618,42 @@ class Txn:
             raise TxnTooLarge("the value is too large")
         if len(self.writes) >= txn.MOST_OPS:
             raise TxnTooLarge("the transaction has too many operations")
-        self.writes.append((key, value))
+        self.writes.append((family, key, value))
+        self._own[family, key] = value
+
+    def _conflict(self, m: Manifest) -> bool:
+        """Whether a key that was read has a newer version in a manifest, or none any more. Where deletions since the snapshot may
+        have been collected the whole log is read, else the runs since then are enough."""
+        newer, folded = [r for r in m.runs if r.max_seq > self.snap_seq], m.collected > self.snap_seq
+        if not self.reads or not (newer or folded):
+            return False
+        asked = self.store.spark.createDataFrame([(f, k, s) for (f, k), s in self.reads.items()], "f string, k binary, seen long")
+        log = self.store._read(m.runs if folded else newer).where(F.col("family").isin(sorted({f for f, _ in self.reads})))
+        on = (F.col("family") == F.col("f")) & (F.col("key") == F.col("k"))
+        now = log.join(F.broadcast(asked.select("f", "k")), on, "left_semi").groupBy("family", "key").agg(F.max("seq").alias("now"))
+        changed = F.col("now") > F.col("seen")
+        return not asked.join(now, on, "left").where(F.coalesce(changed, F.col("seen") > 0) if folded else changed).isEmpty()
 
     def commit(self) -> int:
         self._check()
-        self._end()
         store = self.store
-        if not self.writes:
-            return self.snap_seq
-        seen = store.spark.createDataFrame([(0, k, s) for k, s in self.reads.items()], "txn_id long, key binary, seq_seen long")
-
-        def check(m: Manifest) -> None:
-            newer = [r for r in m.runs if r.base + r.rows > self.snap_seq]
-            if self.reads and newer and not txn.conflicts(seen, store._read(newer).where(F.col("family") == "")).isEmpty():
-                raise TxnConflict("a key that was read has changed")
-
-        rows = store._small([("", k, v, v is None, None, None) for k, v in self.writes])
-        return store._append(rows.withColumn("txn_id", F.lit(store.manifest.last_txn + 1).cast("long")), check)
+        try:
+            if not self.writes:
+                return self.snap_seq
+
+            def check(m: Manifest) -> None:
+                if self._conflict(m):
+                    raise TxnConflict("a key that was read has changed")
+
+            mark = lambda kind: (None, None, None, False, None, kind)
+            rows = store._small([mark(BEGIN), *((f, k, v, v is None, None, None) for f, k, v in self.writes), mark(COMMIT)])
+            return store._append(rows.withColumn("txn_id", F.lit(store.refresh().last_txn + 1).cast("long")), check)
+        finally:
+            self._end()
 
     def rollback(self) -> None:
-        """Without effect after the end, as in a finally clause."""
-        if self._open:
-            self._end()
+        self._check()
+        self._end()
 
     def _end(self) -> None:
         self._open = False
