@@ -316,13 +316,13 @@ def wal_replay(spark, sf):
     return txn.replay(L.table(spark, sf, "wal_log"), ["store"]).select("feed_pos", "store", "seq", "key")
 
 
-@query(_LOG + """, b AS (SELECT min(event_id) + 1 AS cut FROM events WHERE event_id >= 777 AND event_id % 777 = 0)
+@query(_LOG + """, b AS (SELECT min(seq) AS cut FROM log, n WHERE seq * 10 > n * 9 AND (seq - 1) % 17 = 0)
 SELECT key, value, seq FROM log, b WHERE cut IS NULL OR seq < cut""")
 def wal_torn_tail(spark, sf):
-    """Replay stops at the first record whose checksum doesn't hold; some are damaged here."""
-    log = L.event_log(spark, sf)
+    """Replay stops at the first record whose checksum doesn't hold; some in the last tenth are damaged here."""
+    log, last = _log(spark, sf)
     sum_of = txn.checksum(F.col("seq"), F.col("key"), F.col("value"), F.col("tombstone"))
-    damaged = (F.col("seq") > 777) & ((F.col("seq") - 1) % 777 == 0)
+    damaged = (F.col("seq") * 10 > last * 9) & ((F.col("seq") - 1) % 17 == 0)
     stored = log.withColumn("crc", F.when(damaged, sum_of + 1).otherwise(sum_of))
     return txn.intact_prefix(stored, "seq", F.col("crc") == sum_of).select("key", "value", "seq")
 
@@ -612,12 +612,12 @@ def bloom_telemetry(spark, sf):
     return bloom.telemetry(asked).withColumn("observed_fpr", F.round("observed_fpr", 9))
 
 
-@query("""WITH t AS (SELECT user_id % 40 AS file, count(*) AS q, count(*) FILTER (event_id % (1 + user_id % 40) = 0) AS fp FROM events WHERE user_id % 40 < 30 OR event_id % 3 = 0 GROUP BY 1)
+@query("""WITH e AS (SELECT event_id, length(bin(user_id)) AS file FROM events), t AS (SELECT file, count(*) AS q, count(*) FILTER (event_id % (file * file) = 0) AS fp FROM e GROUP BY 1)
 SELECT CAST(file AS varchar) AS file, q AS queries, fp AS false_positives, CASE WHEN q < 100 THEN 0.1::DOUBLE ELSE greatest(0.001::DOUBLE, least(0.05::DOUBLE, CASE WHEN fp / q > 0.1 THEN 0.05::DOUBLE WHEN fp / q < 0.025 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END)) END AS recommended FROM t""")
 def bloom_recommend(spark, sf):
-    """Next target rate of filters of many tables, from a target of a tenth."""
-    file = F.col("user_id") % 40
-    asked = L.table(spark, sf, "events").where((file < 30) | (F.col("event_id") % 3 == 0)).select(file.cast("string").alias("file"), (F.col("event_id") % (file + 1) == 0).alias("is_false_positive"))
+    """Next target rate of filters of tables that double in size from one to the next, from a target of a tenth."""
+    file = F.length(F.bin("user_id"))
+    asked = L.table(spark, sf, "events").select(file.cast("string").alias("file"), (F.col("event_id") % (file * file) == 0).alias("is_false_positive"))
     return bloom.telemetry(asked).select("file", "queries", "false_positives", bloom.recommend(F.col("queries"), F.col("false_positives"), F.lit(0.1)).alias("recommended"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verslog.plans import kv, problems
+from verslog.plans import kv, problems, stores
 
-QUERIES = {**kv.QUERIES, **problems.QUERIES}
-ORACLE = {**kv.ORACLE, **problems.ORACLE}
+QUERIES = {**kv.QUERIES, **stores.QUERIES, **problems.QUERIES}
+ORACLE = {**kv.ORACLE, **stores.ORACLE, **problems.ORACLE}

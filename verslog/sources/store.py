@@ -261,8 +261,8 @@ class Store:
             self._present(m, run)
             if check:
                 check(m)
-            m.runs.append(Run(run.path, run.level, m.last_seq, run.rows, run.bytes, max_seq=m.last_seq + run.rows))
-            m.last_seq += run.rows
+            m.runs.append(Run(run.path, run.level, m.last_seq, run.rows, run.bytes, max_seq=m.last_seq + run.max_seq))
+            m.last_seq += run.max_seq
             m.last_txn += 1
             if families:
                 m.families = families(m.families)
@@ -375,6 +375,12 @@ class Store:
             raise ValueError("the deadline is zero")
         return self._append(self._small([(family, key, None, False, expire_at_ns, TTL)]))
 
+    def write_deadlines(self, rows: DataFrame, family: str = "") -> int:
+        """Deadlines (key, expire_at_ns) of many keys as one commit; a null one clears the key's deadline."""
+        marked = self._rows(rows.select("key", "expire_at_ns", F.col("expire_at_ns").isNull().alias("tombstone")), family, TTL)
+        with temporary(self.spark):
+            return self._append(number_rows(marked, [F.col("key")], "n"))
+
     def ttl_of(self, key: bytes, now_ns: int, family: str = "") -> int:
         row = ttl.remaining(self._ttl_log(family).where(F.col("key") == F.lit(key)), now_ns).first()
         if row is None:
@@ -552,6 +558,8 @@ class Store:
     def backup(self, target: str, created_at: str) -> dict:
         """Flushes and copies the newest manifest and all files of its runs."""
         self.flush()
+        if self.manifest.version == 0:
+            self._commit(lambda m: None)
         names = [f"manifests/{self.manifest.version:020d}.json"]
         for r in self.manifest.runs:
             names += [f"{r.path}/{s.getPath().getName()}" for s in self._fs.listStatus(self._Path(f"{self.folder}/{r.path}")) if s.getPath().getName().endswith(".parquet")]
@@ -646,7 +654,9 @@ class Txn:
                     raise TxnConflict("a key that was read has changed")
 
             mark = lambda kind: (None, None, None, False, None, kind)
-            rows = store._small([mark(BEGIN), *((f, k, v, v is None, None, None) for f, k, v in self.writes), mark(COMMIT)])
+            rows = store._small([*((f, k, v, v is None, None, None) for f, k, v in self.writes), mark(BEGIN), mark(COMMIT)])
+            # The markers have the numbers of the first and the last operation.
+            rows = rows.withColumn("n", F.when(F.col("kind") == BEGIN, 1).when(F.col("kind") == COMMIT, len(self.writes)).otherwise(F.col("n")).cast("long"))
             return store._append(rows.withColumn("txn_id", F.lit(store.refresh().last_txn + 1).cast("long")), check)
         finally:
             self._end()
