@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verslog.functions.hashing import maybe_in
 from verslog.operators import assignment
 from verslog.operators.assignment import pair_rows
 from verslog.operators.changes import effective_changes, latest_by_window, newest_first
@@ -78,7 +79,7 @@ def test_work_ledger(spark, tmp_path):
     (y,) = b.lease(5, now=1, seconds=10)
     assert (x.unit, y.unit) == ("u1", "u2") and a.lease(1, now=2, seconds=10) == []
     (again,) = b.lease(5, now=10.5, seconds=10)  # the first worker is late
-    assert (again.unit, again.token, again.path) == ("u1", 2, x.path)
+    assert (again.unit, again.token) == ("u1", 2) and again.path != x.path  # the late worker can't touch the other's output
     with pytest.raises(StaleLease):
         a.complete(x)
     b.complete(again)
@@ -86,6 +87,35 @@ def test_work_ledger(spark, tmp_path):
     a.release(x)
     b.release(y)
     assert WorkLedger(spark, f"file://{tmp_path}").states() == {"u1": "done", "u2": "pending"}
+    assert a.outputs() == {"u1": again.path}
+
+
+def test_work_ledger_checkpoints(spark, tmp_path):
+    a = WorkLedger(spark, f"file://{tmp_path}", checkpoint_every=3)
+    a.add([f"u{i}" for i in range(5)])
+    for _ in range(4):
+        (lease,) = a.lease(1, now=0, seconds=10)
+        a.complete(lease)
+    for n in range(1, 7):
+        (tmp_path / f"commits/{n:020d}.json").unlink()  # what a checkpoint holds isn't read again
+    b = WorkLedger(spark, f"file://{tmp_path}", checkpoint_every=3)
+    assert b.states() == a.states() == {f"u{i}": "done" if i < 4 else "pending" for i in range(5)}
+    assert b.outputs() == a.outputs() and len(b.outputs()) == 4
+    (lease,) = b.lease(5, now=0, seconds=10)
+    assert lease.unit == "u4" and a.lease(5, now=1, seconds=10) == []
+
+
+def test_a_stale_worker_leaves_the_finished_output_alone(spark, tmp_path):
+    ledger = WorkLedger(spark, f"file://{tmp_path}")
+    ledger.add(["u"])
+    (slow,) = ledger.lease(1, now=0, seconds=10)
+    (quick,) = ledger.lease(1, now=11, seconds=10)
+    spark.range(3).write.mode("overwrite").parquet(quick.path)
+    ledger.complete(quick)
+    spark.range(7).write.mode("overwrite").parquet(slow.path)
+    with pytest.raises(StaleLease):
+        ledger.complete(slow)
+    assert spark.read.parquet(*ledger.outputs().values()).count() == 3
 
 
 def test_work_is_done_once_in_spite_of_failures(spark, tmp_path):
@@ -105,7 +135,7 @@ def test_work_is_done_once_in_spite_of_failures(spark, tmp_path):
     done, failed = work(ledger, process, lambda: now[0], 50)
     assert done == ["a"] and list(failed) == ["b"]
     assert ledger.states() == {"a": "done", "b": "done", "c": "done"} and tries == {"a": 1, "b": 2, "c": 2}
-    assert spark.read.parquet(*[f"{ledger.folder}/out/{u}" for u in "abc"]).count() == 9
+    assert list(ledger.outputs()) == ["a", "b", "c"] and spark.read.parquet(*ledger.outputs().values()).count() == 9
     assert work(ledger, process, lambda: 200.0, 50) == ([], {})
 
 
@@ -155,6 +185,30 @@ def test_large_pairing_is_least_and_quick(monkeypatch):
     assert len(pair_rows(a, b)) == 20_000 and time.time() - began < 60
 
 
+def differing(a, b):
+    return tuple(np.sum([a[i] != b[j] for i, j in pair_rows(a, b)], axis=0)) if len(a) and len(b) else ()
+
+
+@pytest.mark.parametrize("fields", [1, 2, 3, 8, 9])
+def test_ties_are_broken_by_fields_whatever_the_order_and_the_way(monkeypatch, fields):
+    rng = np.random.default_rng(fields)
+    for size in (2, 3, 5, 9, 30):
+        a, b = rng.integers(0, 3, (size, fields)), rng.integers(0, 3, (size + int(rng.integers(0, 3)), fields))
+        want = differing(a, b)
+        for dense in (10**9, size * size, size * size - 1, 0) if fields < 8 else (10**9, 0):
+            monkeypatch.setattr(assignment, "DENSE_PAIRS", dense)
+            assert differing(rng.permutation(a), rng.permutation(b)) == want
+        if size <= 5:
+            small, large = (a, b) if len(a) <= len(b) else (b, a)
+            each = ([small[i] != large[j] for i, j in enumerate(p)] for p in permutations(range(len(large)), len(small)))
+            assert want == min((int(np.sum(e)), *np.sum(e, axis=0)) for e in each)[1:]
+
+
+def test_diff_is_the_same_under_shuffled_rows(spark):
+    left, right = [(1, "a", 0, "0"), (1, "a", 1, "1")], [(1, "a", 0, "1"), (1, "a", 1, "0")]
+    assert {tuple(diff(spark, x, y)) for x in (left, left[::-1]) for y in (right, right[::-1])} == {((1, "a", "sha"),)}
+
+
 @pytest.mark.parametrize("dense", [10**9, 0])
 def test_pairing_is_least(monkeypatch, dense):
     monkeypatch.setattr(assignment, "DENSE_PAIRS", dense)
@@ -316,3 +370,37 @@ def test_snapshots_brute_force(spark):
     assert changes(spark, snaps, buckets=7) == sorted(want, key=repr)
 
 
+
+
+@pytest.mark.parametrize("keep", [None, ["value"]])
+def test_changes_at_the_ends_of_the_range_of_numbers(spark, keep):
+    top, low = 2**63 - 1, -(2**63)
+    feed = [("s", "a", top, False, "1"), ("s", "a", top - 1, True, None), ("s", "b", top - 1, False, "2"), ("s", "b", top, True, None), ("s", "c", low, False, "3"), ("s", "c", None, True, None), ("s", "d", None, False, "4"), ("s", "e", top, False, "5"), ("s", "e", top, True, None), ("s", "f", None, True, None), ("s", "f", None, False, "6")]
+    df = spark.createDataFrame(feed, "store string, key string, seq long, deleted boolean, value string")
+    got = newest_first(df, ["store", "key"], keep=keep, cuts=[0, 2**62])
+    assert rows(got.select("key", "seq")) == [("a", top), ("c", low), ("d", None)]
+
+
+def test_state_of_many_small_batches_is_folded(spark, tmp_path):
+    seen = SeenRanges(spark, "store", "seq", ["txn_id", "key"], "delivery_id", bucket=4, folder=f"file://{tmp_path}/seen", fold=3)
+    rnd, known, n = random.Random(5), set(), 0
+    for step in range(6):
+        batch, want = [], set()
+        for _ in range(12):
+            n += 1
+            ident = (rnd.choice(["s", "t", None]), rnd.choice([None, *range(step, step + 9)]), rnd.choice([0, 0, 0, 1]), rnd.choice("kkkj"))
+            batch.append((n, *ident))
+            want |= {n} if ident in known else set()
+            known.add(ident)
+        assert {r.delivery_id for r in seen.apply(wal(spark, batch)).collect()} == want
+    assert len(seen._parts(seen._steps())) < 3
+    touched = spark.read.parquet(f"file://{tmp_path}/seen/step-{5:012d}/numbers").where("kind = 1").select("bucket").distinct()
+    assert {r.bucket for r in touched.collect()} <= {1, 2, 3}
+
+
+def test_only_candidates_pass_the_filter(spark):
+    digests = spark.range(20000).select(F.xxhash64("id").alias("h"), "id")
+    wanted = digests.where("id % 100 = 0")
+    got = {r.id for r in maybe_in(digests, F.col("h"), wanted.select(F.col("h").alias("w")), F.col("w"), words=1024).collect()}
+    assert got >= set(range(0, 20000, 100)) and len(got) < 800
+    assert maybe_in(digests, F.col("h"), wanted.where("false").select(F.col("h").alias("w")), F.col("w")).count() == 0

@@ -1,4 +1,8 @@
-"""Minimum-cost pairing of the rows that two copies hold under one key."""
+"""Minimum-cost pairing of the rows that two copies hold under one key.
+
+The number of differing fields is least; of pairings with the same number the one in which the first field differs least often is
+taken, then the second field, and so on. So how often each field differs doesn't depend on the order of rows or the way of solving.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +12,31 @@ from itertools import combinations
 import numpy as np
 
 
-def _hungarian(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each left row (not more of them than right rows) its right row; the number of differing fields is least.
+def weights(fields: int, pairs: int) -> list[int]:
+    """Cost of a difference in each field, so that sums over so many pairs compare like (differences, those of the first field, ...)."""
+    base = pairs + 1
+    return [base**fields + base ** (fields - 1 - f) for f in range(fields)]
+
+
+def _hungarian(left: np.ndarray, right: np.ndarray, cost_of: list[int]) -> np.ndarray:
+    """For each left row (not more of them than right rows) its right row at the least cost.
     Costs are made a row at a time, so memory stays in proportion to the rows."""
     n, m = len(left), len(right)
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    far = 4 * (n + 2) * (sum(cost_of) + 1)
+    kind = np.int64 if far < 2**62 else object  # whole numbers of any size where 64 bits don't hold the sums
+    weight = np.array(cost_of, dtype=kind)
+    u, v = np.zeros(n + 1, dtype=kind), np.zeros(m + 1, dtype=kind)
     owner, way = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
     for i in range(1, n + 1):
         owner[0], col = i, 0
-        best, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool)
+        best, used = np.full(m + 1, far, dtype=kind), np.zeros(m + 1, dtype=bool)
         while True:
             used[col] = True
             row = owner[col]
-            cost = (left[row - 1] != right).sum(axis=1) - u[row] - v[1:]
+            cost = ((left[row - 1] != right) * weight).sum(axis=1) - u[row] - v[1:]
             better = ~used[1:] & (cost < best[1:])
             best[1:][better], way[1:][better] = cost[better], col
-            free = np.where(used[1:], np.inf, best[1:])
+            free = np.where(used[1:], far, best[1:])
             step = int(free.argmin()) + 1
             delta = free[step - 1]
             u[owner[used]] += delta
@@ -138,12 +151,12 @@ class _Flow:
             x = y
 
 
-def _flow_pairs(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def _flow_pairs(left: np.ndarray, right: np.ndarray, cost_of: list[int]) -> list[tuple[int, int]]:
     """Cheapest pairing through nodes for shared values: a row may pass through any set of its field values that the other side
     has as well, at the cost of the fields outside the set. Edges grow with the rows, not with their pairs."""
     n, m, fields = len(left), len(right), left.shape[1]
     source, sink = 0, n + m + 1
-    links = [(np.zeros(n, dtype=np.int64), np.zeros(m, dtype=np.int64), fields, 1)]
+    links = [(np.zeros(n, dtype=np.int64), np.zeros(m, dtype=np.int64), sum(cost_of), 1)]
     for size in range(1, fields + 1):
         for chosen in combinations(range(fields), size):
             _, group = np.unique(np.vstack([left[:, chosen], right[:, chosen]]), axis=0, return_inverse=True)
@@ -151,7 +164,7 @@ def _flow_pairs(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
             both = np.intersect1d(group[:n], group[n:])
             place = np.full(group.max() + 1, -1)
             place[both] = np.arange(len(both))
-            links.append((place[group[:n]], place[group[n:]], fields - size, len(both)))
+            links.append((place[group[:n]], place[group[n:]], sum(c for f, c in enumerate(cost_of) if f not in chosen), len(both)))
     flow = _Flow(sink + 1 + sum(k for *_, k in links))
     for i in range(n):
         flow.edge(source, 1 + i, 1, 0)
@@ -178,20 +191,21 @@ def _flow_pairs(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
 
 
 def pair_rows(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs min(len) rows of two integer-coded arrays (equal code: equal value) so that the sum of differing fields is least.
+    """Pairs min(len) rows of two integer-coded arrays (equal code: equal value) at the least cost (see above).
 
-    Both ways are exact. Large parts go to a flow whose size follows the rows; row-by-row costs remain for small parts and for
-    more fields than FLOW_FIELDS."""
+    Both ways are exact and differ in speed only. Large parts go to a flow whose size follows the rows; row-by-row costs remain for
+    small parts and for more fields than FLOW_FIELDS."""
     pairs: list[tuple[int, int]] = []
+    cost_of = weights(left.shape[1], min(len(left), len(right)))
     for a, b in _parts(left, right):
         if not len(a) or not len(b):
             continue
         if len(a) * len(b) > DENSE_PAIRS and left.shape[1] <= FLOW_FIELDS:
-            pairs += [(int(a[i]), int(b[j])) for i, j in _flow_pairs(left[a], right[b])]
+            pairs += [(int(a[i]), int(b[j])) for i, j in _flow_pairs(left[a], right[b], cost_of)]
         else:
             swap = len(a) > len(b)
             x, y = (b, a) if swap else (a, b)
-            for i, j in enumerate(_hungarian((right if swap else left)[x], (left if swap else right)[y])):
+            for i, j in enumerate(_hungarian((right if swap else left)[x], (left if swap else right)[y], cost_of)):
                 pairs.append((int(y[j]), int(x[i])) if swap else (int(x[i]), int(y[j])))
     taken_l, taken_r = {i for i, _ in pairs}, {j for _, j in pairs}
     rest_l, rest_r = [i for i in range(len(left)) if i not in taken_l], [j for j in range(len(right)) if j not in taken_r]

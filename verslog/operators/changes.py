@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +11,6 @@ from verslog.session import materialize
 #: Kinds of log records.
 PUT, DELETE, BEGIN, COMMIT, ABORT = 0, 1, 2, 3, 4
 
-_NO_SEQ = -(2**61)
-
 
 def effective_changes(feed: DataFrame, scope: str = "store", salts: int = 8) -> DataFrame:
     """Puts and deletes of a feed that count, with a column ``deleted``.
@@ -47,17 +45,17 @@ def newest_first(changes: DataFrame, keys: list[str], seq: str = "seq", deleted:
     # A struct keeps nulls of the image; false sorts below true, so the delete wins a tie.
     order = F.struct(F.col(seq).alias("s"), F.col(deleted).alias("d"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(keep)])
     if keep:
-        newest: Column = F.max(order)
+        newest = [F.max(order).alias("__m")]
         parts = [F.col("__m.s").alias(seq), F.col("__m.d").alias("__deleted"), *[F.col(f"__m.v{i}").alias(c) for i, c in enumerate(keep)]]
-    else:  # one long holds both and stays in a hash aggregate
-        newest = F.max(F.coalesce(F.col(seq), F.lit(_NO_SEQ)) * 2 + F.col(deleted).cast("long"))
-        parts = [F.nullif(F.shiftright("__m", 1), F.lit(_NO_SEQ)).alias(seq), (F.col("__m") % 2 != 0).alias("__deleted")]
+    else:  # longs and flags stay in a hash aggregate: the newest seq, the newest of a deletion, and whether one has no seq
+        newest = [F.max(seq).alias("__s"), F.max(F.when(F.col(deleted), F.col(seq))).alias("__d"), F.bool_or(F.col(deleted) & F.col(seq).isNull()).alias("__n")]
+        parts = [F.col("__s").alias(seq), F.when(F.col("__s").isNull(), F.col("__n")).otherwise(F.coalesce(F.col("__d") == F.col("__s"), F.lit(False))).alias("__deleted")]
     cuts = sorted(set(cuts if cuts is not None else seq_cuts(changes, seq, batches) if batches > 1 else []))
     # Batch 0 is the oldest and has the null seqs. All batches are reduced in one pass over the feed.
     band = F.lit(0)
     for c in cuts:
         band = band + F.coalesce((F.col(seq) >= c).cast("int"), F.lit(0))
-    reduced = changes.groupBy(*keys, band.alias("__band")).agg(newest.alias("__m")).select(*keys, "__band", *parts)
+    reduced = changes.groupBy(*keys, band.alias("__band")).agg(*newest).select(*keys, "__band", *parts)
     if cuts:
         reduced = materialize(reduced, "batches", "__band")
     resolved: DataFrame | None = None

@@ -25,7 +25,7 @@ def diff_copies(
     """Rows (keys..., ``difference``): ``missing_in_<name>`` for a key of one side only, or the name of a field that differs.
 
     Identical rows cancel by multiplicity. What is left under a key is paired so that the number of differing fields is
-    least, and each field in which a pair differs is one row (once for a key, however many pairs differ in it). Rows left
+    least, and of those pairings so that the first of ``fields`` differs least often, then the second, whatever the order of rows. Each field in which a pair differs is one row (once for a key, however many pairs differ in it). Rows left
     without a partner while the other side has the key are surplus copies: with ``extra_copies`` they give
     ``extra_in_<name>``, else nothing. NULL equals NULL only, in keys and fields; ``normal`` maps fields to a normal form
     first. Other columns, whatever their names, aren't read. Two empty tables have no differences.

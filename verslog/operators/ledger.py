@@ -11,6 +11,8 @@ which workers take units of work (files, sequence ranges) one by one.
 from __future__ import annotations
 
 import json
+import random
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +53,8 @@ def item_states(items: DataFrame, leases: DataFrame, bucket: int = BUCKET) -> Da
 
     A lease covers a prefix of its scope, so only the latest taken_at among leases from a position on matters: a running
     maximum from the highest position down. Scopes are cut into buckets of positions, and what leases above a bucket give is
-    carried in, so no task orders more than ``bucket`` positions however large a scope is.
+    carried in, so no task orders more than ``bucket`` positions however large a scope is; items that stay pending for a null
+    aren't shuffled at all.
     """
     cell = F.floor(F.col("position") / bucket)
     steps = (
@@ -60,8 +63,9 @@ def item_states(items: DataFrame, leases: DataFrame, bucket: int = BUCKET) -> Da
         .agg(F.max(F.when(F.col("status") == "done", F.col("taken_at"))).alias("done"), F.max(F.when(F.col("status") == "open", F.col("taken_at"))).alias("open"))
         .withColumn("cell", cell)
     )
-    work = items.select("scope", "position", "seen_at").withColumn("cell", cell)
-    tops = work.select("scope", "cell").where("scope is not null and cell is not null").distinct()
+    whole = F.col("scope").isNotNull() & F.col("position").isNotNull() & F.col("seen_at").isNotNull()
+    work = items.where(whole).select("scope", "position", "seen_at").withColumn("cell", cell)
+    tops = work.select("scope", "cell").distinct()
     down = W.partitionBy("scope").orderBy(F.col("cell").desc()).rowsBetween(W.unboundedPreceding, -1)
     nothing = F.lit(None).cast("timestamp")
     kind = dict(steps.dtypes)["done"]
@@ -80,8 +84,9 @@ def item_states(items: DataFrame, leases: DataFrame, bucket: int = BUCKET) -> Da
         .unionByName(carried.select("scope", "cell", ((F.col("cell") + 1) * bucket).cast(dict(work.dtypes)["position"]).alias("position"), nothing.cast(seen).alias("seen_at"), "done", "open", F.lit(False).alias("item")))
     )
     fall = W.partitionBy("scope", "cell").orderBy(F.col("position").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    has = lambda c: F.coalesce((F.max(c).over(fall) >= F.col("seen_at")) & F.col("scope").isNotNull() & F.col("position").isNotNull(), F.lit(False))
-    return both.select("scope", "position", "seen_at", "item", F.when(has("done"), "done").when(has("open"), "leased").otherwise("pending").alias("state")).where("item").drop("item")
+    has = lambda c: F.coalesce(F.max(c).over(fall) >= F.col("seen_at"), F.lit(False))
+    known = both.select("scope", "position", "seen_at", "item", F.when(has("done"), "done").when(has("open"), "leased").otherwise("pending").alias("state")).where("item").drop("item")
+    return known.unionByName(items.where(~whole).select("scope", "position", "seen_at", F.lit("pending").alias("state")))
 
 
 def next_items(states: DataFrame, upto: int, now: Column) -> DataFrame:
@@ -105,31 +110,50 @@ class WorkLedger:
     """A durable ledger of named units in a folder that driver processes share.
 
     Every change is one commit file ``N.json`` made by exclusive create, so of two processes that both go from N-1 only one
-    wins and the other reads again. A unit's output path follows from its name alone: a retry overwrites what an earlier
-    attempt left and nothing is written twice. Time is passed in, never read, so that runs can be repeated.
+    wins and the other reads again. A checkpoint after every ``checkpoint_every`` commits bounds what a new process reads. The path
+    of an output follows from unit and token: a retry under one lease overwrites what it left before, a worker whose lease is over
+    can't touch the output of the one after it, and the commit that completes a unit publishes the path that counts (``outputs``).
+    Time is passed in, never read, so that runs can be repeated.
+
+    Units are coarse (files, ranges of numbers): each process keeps one small record for every unit. Rows by the billion go
+    through ``item_states``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.folder = folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, checkpoint_every: int = 100):
+        self.folder, self.checkpoint_every = folder.rstrip("/"), checkpoint_every
         self._log = CommitLog(spark, self.folder + "/commits")
+        self._checkpoints = CommitLog(spark, self.folder + "/checkpoints")
         self._n, self._units = 0, {}
+        for n in reversed(self._checkpoints.numbers()):
+            if (text := self._checkpoints.read(n)) is not None:
+                self._n, self._units = n, json.loads(text)
+                break
 
     def _refresh(self) -> dict:
         while (text := self._log.read(self._n + 1)) is not None:
             for unit, change in json.loads(text).items():
                 self._units.setdefault(unit, {"state": "pending", "token": 0, "expires_at": 0.0}).update(change)
             self._n += 1
+            if self._n % self.checkpoint_every == 0:
+                try:
+                    self._checkpoints.create(self._n, json.dumps(self._units))
+                except LostRace:
+                    pass  # another process wrote the same
         return self._units
 
     def _commit(self, decide):
         """decide(units) gives (changes, result); taken again from the newest state until the commit file is ours."""
-        for _ in range(1000):
+        pause = 0.01
+        until = time.monotonic() + 2 * self._log.grace_s + 60
+        while time.monotonic() < until:
             changes, result = decide(self._refresh())
             if not changes:
                 return result
             try:
                 self._log.create(self._n + 1, json.dumps(changes))
             except LostRace:
+                time.sleep(pause * random.random())
+                pause = min(2 * pause, 1.0)
                 continue
             self._refresh()
             return result
@@ -144,7 +168,7 @@ class WorkLedger:
 
         def decide(have):
             free = [u for u, x in sorted(have.items()) if x["state"] == "pending" or (x["state"] == "leased" and x["expires_at"] <= now)][:limit]
-            got = [Lease(u, have[u]["token"] + 1, now + seconds, f"{self.folder}/out/{u}") for u in free]
+            got = [Lease(u, have[u]["token"] + 1, now + seconds, f"{self.folder}/out/{u}/{have[u]['token'] + 1}") for u in free]
             return {g.unit: {"state": "leased", "token": g.token, "expires_at": g.expires_at} for g in got}, got
 
         return self._commit(decide)
@@ -156,7 +180,7 @@ class WorkLedger:
             x = have[lease.unit]
             if x["token"] != lease.token:
                 raise StaleLease(f"{lease.unit}: token {lease.token}, now {x['token']}")
-            return ({} if x["state"] == "done" else {lease.unit: {"state": "done"}}), None
+            return ({} if x["state"] == "done" else {lease.unit: {"state": "done", "path": lease.path}}), None
 
         self._commit(decide)
 
@@ -167,6 +191,10 @@ class WorkLedger:
     def states(self) -> dict[str, str]:
         return {u: x["state"] for u, x in sorted(self._refresh().items())}
 
+    def outputs(self) -> dict[str, str]:
+        """The published output of every unit that is done; readers take no other path."""
+        return {u: x["path"] for u, x in sorted(self._refresh().items()) if x["state"] == "done"}
+
 
 def work(ledger: WorkLedger, process, clock, seconds: float, limit: int = 100) -> tuple[list[str], dict[str, Exception]]:
     """Leases up to ``limit`` units and processes them one by one: process(lease) writes to ``lease.path``, replacing what is there.

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verslog.functions.hashing import row_hash
+from verslog.functions.hashing import maybe_in, row_hash
+from verslog.session import materialize
 
 #: Rows of both sides that one bucket is sized for: 17 bytes a row in numpy.
 BUCKET_ROWS = 1 << 20
@@ -61,7 +62,8 @@ def snapshot_changes(snapshots: DataFrame, items: str, key: Callable[[Column], C
 
     Items become hashes where they are read, and only the hashes are shuffled: 8 bytes each for key and row, and the pair. They
     are spread by the hash of pair and key, so neither a scope nor a snapshot that holds a third of all items makes a
-    large bucket. Full keys are read again for the differing ones alone.
+    large bucket. Full keys are read again for the differing ones alone: the others are filtered out before the shuffle. Two keys
+    of a snapshot with equal 64-bit hashes would be taken for one, which one pair in 10^19 is.
     """
     named = snapshots.select("scope", "snapshot", "taken_at", F.col(items).alias("items")).dropna()
     # One light row per snapshot: ids and times only.
@@ -83,7 +85,9 @@ def snapshot_changes(snapshots: DataFrame, items: str, key: Callable[[Column], C
     # A removed item is named by the older snapshot of the pair, others by the newer one.
     links = runs.select(F.col("snapshot").alias("s"), "old")
     found = found.join(links, F.col("pair") == F.col("s")).select("pair", "key", "change", F.when(F.col("change") == 1, F.col("old")).otherwise(F.col("pair")).alias("source"))
+    found = materialize(found, "differing")  # read twice below
     names = named.select(F.col("snapshot").alias("n"), F.explode("items").alias("item")).select("n", key(F.col("item")).alias("full_key")).withColumn("k", row_hash(F.col("full_key")))
+    names = maybe_in(names, F.xxhash64("n", "k"), found, F.xxhash64("source", "key"))
     hit = found.join(names, (F.col("source") == F.col("n")) & (F.col("key") == F.col("k")))
     label = F.element_at(F.array(*map(F.lit, CHANGES)), F.col("change").cast("int") + 1)
-    return hit.groupBy("pair", "key", "change").agg(F.first("full_key").alias("full_key")).select(F.col("pair").alias("snapshot"), F.col("full_key").alias("key"), label.alias("change"))
+    return hit.select("pair", "full_key", "change").distinct().select(F.col("pair").alias("snapshot"), F.col("full_key").alias("key"), label.alias("change"))

@@ -20,24 +20,46 @@ def _ok(df: DataFrame) -> DataFrame:
     return df.withColumn("ok", F.coalesce(F.lower(F.trim("outcome")) == "ok", F.lit(False)))
 
 
-def backup_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Work items of all stores with their ledger state. A run leases its store up to snap_seq at created_at, under the
-    fencing token (created_at, manifest_id), and reports at once; runs that didn't end ok lose their lease."""
-    records = _read(spark, sf, "wal_records").groupBy("store", "seq").agg(F.min("received_at").alias("seen_at"))
+#: Days for which a backup run holds its lease if it doesn't report.
+LEASE_DAYS = 10
+
+
+def backup_leases(spark: SparkSession, sf: str, days_later: int) -> DataFrame:
+    """Settled leases of all backup runs, so many days after the last run began. A run leases its store up to snap_seq at created_at
+    for LEASE_DAYS, under the fencing token (created_at, manifest_id). One that ended ok reported when it wrote its manifest, at
+    created_at; the others never report, and their lease runs out. A manifest listed twice is a repeated report."""
     runs = _ok(_read(spark, sf, "manifests")).withColumn("token", F.struct("created_at", "manifest_id"))
-    leases = runs.select(F.col("store").alias("scope"), "token", F.col("snap_seq").alias("upto"), F.col("created_at").alias("taken_at"), F.col("created_at").alias("expires_at"))
-    reports = runs.select(F.col("store").alias("scope"), "token", F.col("created_at").alias("reported_at"), "ok")
-    return item_states(records.select(F.col("store").alias("scope"), F.col("seq").alias("position"), "seen_at"), settle_leases(leases, reports))
+    span = lambda days: F.make_dt_interval(F.lit(days))
+    leases = runs.select(F.col("store").alias("scope"), "token", F.col("snap_seq").alias("upto"), F.col("created_at").alias("taken_at"), (F.col("created_at") + span(LEASE_DAYS)).alias("expires_at"))
+    reports = runs.where("ok").select(F.col("store").alias("scope"), "token", F.col("created_at").alias("reported_at"), "ok")
+    last = runs.agg(F.max("created_at")).first()[0]
+    return settle_leases(leases, reports, F.lit(last).cast(dict(runs.dtypes)["created_at"]) + span(days_later))
+
+
+def backup_states(spark: SparkSession, sf: str, days_later: int) -> DataFrame:
+    """Work items of all stores (records by store and seq, there since the first known arrival) with their ledger state."""
+    records = _read(spark, sf, "wal_records").groupBy("store", "seq").agg(F.min("received_at").alias("seen_at"))
+    return item_states(records.select(F.col("store").alias("scope"), F.col("seq").alias("position"), "seen_at"), backup_leases(spark, sf, days_later))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Records that the next run of each store must take."""
-    return backup_states(spark, sf).where("state = 'pending'").select(F.col("scope").alias("store"), F.col("position").alias("seq"))
+    """Records that the next run of each store must take, once the last lease has run out."""
+    return backup_states(spark, sf, LEASE_DAYS).where("state = 'pending'").select(F.col("scope").alias("store"), F.col("position").alias("seq"))
 
 
 def p2_state_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Items of each store by ledger state."""
-    return backup_states(spark, sf).groupBy(F.col("scope").alias("store"), "state").agg(F.count("*").alias("items"))
+    """Items of each store by ledger state, once the last lease has run out."""
+    return backup_states(spark, sf, LEASE_DAYS).groupBy(F.col("scope").alias("store"), "state").agg(F.count("*").alias("items"))
+
+
+def p2_leases(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of each store by ledger state at the moment the last run began, while runs of the days before still hold theirs."""
+    return backup_states(spark, sf, 0).groupBy(F.col("scope").alias("store"), "state").agg(F.count("*").alias("items"))
+
+
+def p2_lease_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Leases of each store by their status at that moment: done, open or lost."""
+    return backup_leases(spark, sf, 0).groupBy(F.col("scope").alias("store"), "status").agg(F.count("*").alias("leases"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +76,12 @@ def p3_copies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields, the name among them, in which the entries of a manifest differ after entries that aren't listed alike on both sides were
+    paired at least cost: renamed files are told from lost ones. Each manifest has several such entries."""
+    return diff_copies(_read(spark, sf, "files_primary"), _read(spark, sf, "files_replica"), ["manifest_id"], ["sha256", "size", "name"], ("primary", "replica"), {"sha256": F.lower})
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Deliveries to drop so that one copy of each message remains."""
     return drop_repeats(_read(spark, sf, "wal_records"), "store", "seq", ["txn_id", "key"], "delivery_id")
@@ -79,7 +107,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("snapshot").alias("manifest_id"), F.col("key").alias("name"), "change")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_state_counts, p3_found, p3_copies, p4_found, p5_found, p5_images, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_state_counts, p2_leases, p2_lease_counts, p3_found, p3_copies, p3_pairs, p4_found, p5_found, p5_images, p6_found)}
 
 _P2 = """WITH r AS (SELECT store, seq, min(received_at) AS seen FROM wal_records GROUP BY store, seq),
 m AS (SELECT DISTINCT store, snap_seq, created_at FROM manifests WHERE lower(trim(outcome)) = 'ok'),
@@ -104,7 +132,28 @@ n AS (SELECT *, row_number() OVER (PARTITION BY store, key ORDER BY seq DESC, de
 ORACLE = {
     "p2_found": _P2 + "SELECT store, seq FROM s WHERE NOT done",
     "p2_state_counts": _P2 + "SELECT store, CASE WHEN done THEN 'done' ELSE 'pending' END AS state, count(*) AS items FROM s GROUP BY 1, 2",
+    "p2_leases": f"""WITH r AS (SELECT store, seq, min(received_at) AS seen FROM wal_records GROUP BY store, seq),
+m AS (SELECT store, created_at, snap_seq, coalesce(lower(trim(outcome)) = 'ok', false) AS ok, created_at + INTERVAL {LEASE_DAYS} DAY > max(created_at) OVER () AS runs FROM manifests),
+s AS (SELECT r.store, CASE WHEN EXISTS (SELECT 1 FROM m WHERE ok AND m.store = r.store AND m.snap_seq >= r.seq AND m.created_at >= r.seen) THEN 'done'
+ WHEN EXISTS (SELECT 1 FROM m WHERE NOT ok AND runs AND m.store = r.store AND m.snap_seq >= r.seq AND m.created_at >= r.seen) THEN 'leased' ELSE 'pending' END AS state FROM r)
+SELECT store, state, count(*) AS items FROM s GROUP BY 1, 2""",
+    "p2_lease_counts": f"""WITH m AS (SELECT store, created_at, manifest_id, bool_or(coalesce(lower(trim(outcome)) = 'ok', false)) AS ok, any_value(created_at) + INTERVAL {LEASE_DAYS} DAY > (SELECT max(created_at) FROM manifests) AS runs
+ FROM manifests WHERE snap_seq IS NOT NULL AND store IS NOT NULL AND created_at IS NOT NULL GROUP BY store, created_at, manifest_id)
+SELECT store, CASE WHEN ok THEN 'done' WHEN runs THEN 'open' ELSE 'lost' END AS status, count(*) AS leases FROM m GROUP BY 1, 2""",
     "p3_found": _P3 + "SELECT * FROM d",
+    # All assignments of the smaller side's leftovers to the larger side's, of which the least by (differences, sha256, size, name) counts.
+    "p3_pairs": """WITH RECURSIVE v AS (SELECT manifest_id, name, size, lower(sha256) AS sha, sum(s) AS d FROM (SELECT *, 1 AS s FROM files_primary UNION ALL SELECT *, -1 FROM files_replica) GROUP BY ALL),
+x AS (SELECT manifest_id, name, size, sha, d > 0 AS l, unnest(range(abs(d)::BIGINT)) AS k FROM v WHERE d <> 0),
+t AS (SELECT manifest_id, sum(l) AS l, sum(r) AS r FROM (SELECT manifest_id, 1 AS l, 0 AS r FROM files_primary UNION ALL SELECT manifest_id, 0, 1 FROM files_replica) GROUP BY 1),
+n AS (SELECT manifest_id, count(*) FILTER (l) AS nl, count(*) FILTER (NOT l) AS nr FROM x GROUP BY 1),
+y AS (SELECT x.*, x.l = (nl <= nr) AS small, row_number() OVER (PARTITION BY x.manifest_id, x.l ORDER BY name, size, sha, k) AS i FROM x JOIN n ON x.manifest_id IS NOT DISTINCT FROM n.manifest_id),
+p AS (SELECT manifest_id, least(nl, nr) AS n, 0::BIGINT AS i, 0::HUGEINT AS used, 0 AS c, 0 AS s, 0 AS z, 0 AS m FROM n WHERE nl > 0 AND nr > 0
+ UNION ALL SELECT p.manifest_id, p.n, p.i + 1, p.used + (2::HUGEINT ** b.i)::HUGEINT, p.c + (a.sha IS DISTINCT FROM b.sha)::INT + (a.size IS DISTINCT FROM b.size)::INT + (a.name IS DISTINCT FROM b.name)::INT,
+ p.s + (a.sha IS DISTINCT FROM b.sha)::INT, p.z + (a.size IS DISTINCT FROM b.size)::INT, p.m + (a.name IS DISTINCT FROM b.name)::INT
+ FROM p JOIN y a ON a.manifest_id IS NOT DISTINCT FROM p.manifest_id AND a.small AND a.i = p.i + 1 JOIN y b ON b.manifest_id IS NOT DISTINCT FROM p.manifest_id AND NOT b.small AND (p.used // (2::HUGEINT ** b.i)::HUGEINT) % 2 = 0),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY c, s, z, m) AS r FROM p WHERE i = n) WHERE r = 1)
+SELECT manifest_id, 'missing_in_replica' AS difference FROM t WHERE r = 0 UNION ALL SELECT manifest_id, 'missing_in_primary' FROM t WHERE l = 0
+UNION ALL SELECT manifest_id, 'sha256' FROM q WHERE s > 0 UNION ALL SELECT manifest_id, 'size' FROM q WHERE z > 0 UNION ALL SELECT manifest_id, 'name' FROM q WHERE m > 0""",
     "p3_copies": _P3
     + """SELECT * FROM d UNION ALL SELECT manifest_id, name, 'extra_in_primary' FROM j WHERE an > bn
  UNION ALL SELECT manifest_id, name, 'extra_in_replica' FROM j WHERE bn > an""",
