@@ -322,6 +322,38 @@ def test_long_texts_take_linear_time(spark):
     assert took[1] < 24 * max(took[0], 0.02)
 
 
+@pytest.mark.parametrize("units", [
+    ["ሰላም ለዓለም።", "ይህ ሁለተኛ ነው።"], ["នេះជាប្រយោគ។", "នេះជាទីពីរ៕"], ["ဒါက ပထမ၊ ဒုတိယ။", "ဒါက တတိယ။"], ["Սա առաջինն է։", "Սա երկրորդն է։"], ["བོད་ཡིག།", "གཉིས་པ།"], ["یہ پہلا ہے۔", "یہ دوسرا ہے۔"], ["ᠨᠢᠭᠡ᠃", "ᠬᠣᠶᠠᠷ᠃"],
+    ["Col. Smith and Adm. Jones met Maj. Vell.", "The U.S. Senate sat in column 5.", "It left the U.S.", "The rest stayed."],
+    ["Он живёт на ул. Ленина.", "Проф. Иванов и т.д. ушли.", "Всё."], ["Der Preis stieg bspw. Montag.", "Dhr. Jansen zweeg.", "Sig. Rossi parlò."],
+])
+def test_units_of_other_scripts_and_abbreviations(units):
+    assert cut(" ".join(units)) == units
+
+
+def test_unmatched_brackets_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("(" * 20_000 + "]" * 20_000, "([{“" * 10_000 + "x. Y." + ")" * 10_000, "x " + "”)" * 20_000):
+        assert sentences.unit_ends(text)[-1] == len(text)
+    assert time.time() - began < 3
+
+
+def test_scripts_and_speakers_across_long_gaps():
+    gap = " " * 200
+    assert cut(f"It rose{gap}\n{gap}Mrs. Ann Krom:{gap}\nNo.") == ["It rose", "Mrs. Ann Krom:", "No."]
+    digits = "5" * 300
+    assert cut(f"यह सच है {digits}| One.") == [f"यह सच है {digits}|", "One."]
+    assert cut(f"A “cat” {digits}| One.") == [f"A “cat” {digits}| One."]
+
+
+def test_units_with_their_text(spark):
+    df = spark.createDataFrame([(1, " A cat.\n\n(Applause.) B", "x"), (2, None, "y"), (3, " ", "z"), (None, "One.", "q")], "doc_id long, text string, unit string")
+    assert rows(sentences.sentence_units(df)) == sorted([(1, 1, 7, "A cat."), (1, 9, 20, "(Applause.)"), (1, 21, 22, "B"), (None, 0, 4, "One.")], key=repr)
+    assert sentences.sentence_units(df.where("false")).count() == 0
+
+
 def test_split_table(spark):
     df = spark.createDataFrame([(1, "A cat. A dog.", "x"), (None, "One.", "x"), (3, None, "x"), (4, "  ", "x"), (1, "A cat. A dog.", "x")], "doc_id long, text string, end_char string")
     assert rows(sentences.split_sentences(df)) == sorted([(1, 6), (1, 13), (1, 6), (1, 13), (None, 4)], key=repr)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verslog.llm.leak import RUN, find_leaks
 from verslog.llm.pack import count_tokens, pack
 from verslog.llm.seen import error_rate, seen_before
-from verslog.llm.sentences import split_sentences
+from verslog.llm.sentences import sentence_units, split_sentences
 
 #: The table of containers is a handful of settings; more rows than this are no such table.
 MOST_CONTAINERS = 1000
@@ -66,7 +66,17 @@ def p9_units(spark: SparkSession, sf: str) -> DataFrame:
     return units.groupBy("units").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p7_pack, p7_fill, p8_found, p8_items, p9_found, p9_units)}
+#: White space as the units see it.
+_BLANKS = "[\\t-\\r\\x1c-\\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def p9_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters of each speech that stand in its units, white space left out: all of them, and none twice."""
+    units = sentence_units(_read(spark, sf, "documents"))
+    return units.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("unit", _BLANKS, ""))).alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p7_pack, p7_fill, p8_found, p8_items, p9_found, p9_units, p9_cover)}
 
 _P8 = rf"""WITH n AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM eval_items WHERE text IS NOT NULL),
@@ -76,6 +86,7 @@ f AS (SELECT DISTINCT a.item_id, b.doc_id FROM b JOIN (SELECT DISTINCT item_id,
 """
 
 ORACLE = {
+    "p9_cover": f"""SELECT doc_id, length(t) AS chars FROM (SELECT doc_id, regexp_replace(text, '{_BLANKS}', '', 'g') AS t FROM documents) WHERE t <> ''""",
     "p1_found": """WITH i AS (SELECT arrival_id, key, row_number() OVER (PARTITION BY key ORDER BY arrival_id) AS r FROM incoming_entries WHERE key IS NOT NULL)
 SELECT arrival_id FROM i WHERE r > 1 OR EXISTS (SELECT 1 FROM entries e WHERE e.key = i.key)""",
     "p8_found": _P8 + "SELECT item_id, doc_id FROM f",

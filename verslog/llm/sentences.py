@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 LATIN_STOPS = ".!?…"
 WIDE_STOPS = "。！？．｡"
 INDIC_STOPS = "।॥|"
-OTHER_STOPS = "؟۔‼⁇⁈⁉"
+#: All other characters that end a sentence by Unicode's rules, Khmer and Tibetan ones that they leave out, and without Myanmar's comma.
+OTHER_STOPS = "".join(sorted({*regex.findall(r"\p{Sentence_Break=STerm}", "".join(map(chr, range(0x80, 0x20000)))), *"។៕།༎༏༐༑"} - {*LATIN_STOPS, *WIDE_STOPS, *INDIC_STOPS, "၊"}))
 
 #: Brackets, and quotation marks with every mark that may close them.
 BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）", "〔": "〕", "［": "］", "【": "】", "《": "》", "〈": "〉"}
@@ -30,16 +32,35 @@ QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "
 #: Abbreviations after which a sentence goes on.
 ALWAYS = """
 mr mrs ms messrs ca dr prof capt lt gen sgt rev hon st sen rep gov pres cf viz eg ie e.g i.e approx vs eds
+adm cmdr brig lieut cpl pvt insp supt atty mt ft
 hr fr abg abs lit vgl zzgl gem ggf bzw sog mio mrd z.b d.h i.d.f i.v.m d ex
 mm mme mmes mlle pr av bd janv févr avr juil c.-à-d
 sr sra sres sras srta dra dña prof lic ing ud uds
+bspw evtl insb inkl exkl bzgl geb verh zit
+exmo exma ilmo ilma eng arq
+sig sigg sig.ra sig.na dott dott.ssa avv geom arch on.le
+dhr mevr mw drs ir o.a d.w.z m.b.t bijv
+mgr inż hab ul np m.in tzn tj
+ул пл пр просп г-н г-жа им проф акад т.е т.н рис стр
 """.split()
 
+#: Titles and ranks if they begin with a capital letter, other words if they don't.
+TITLES = "col maj sec asst dep supt".split()
+
 #: Abbreviations that a number follows; before anything else they end a sentence like other words.
 BEFORE_NUMBER = "no nos vol vols p pp sec secs art arts para ch fig nr s al cap pág págs núm párr col §".split()
 
 #: Abbreviations that also stand at the end of a sentence; they end it where a new one can begin.
-MAYBE = "etc co ltd inc jr usw ff u.a v.a a.m p.m u.s.w h".split()
+MAYBE = "etc co ltd inc jr usw ff u.a v.a a.m p.m u.s.w h ecc enz itd itp т.д т.п др млн млрд тыс руб гг".split()
+
+#: Words with which English sentences begin; an acronym as U.S. ends one before these and before marks only.
+STARTERS = frozenset(
+    """a after all also although an and are as at because before but by did do does during each even every few first for from
+had has have he her here his how however i if in instead is it its last later let many may more most moreover mr mrs ms my nevertheless next no
+nobody nor not now of on once one only or other our over perhaps please same second several she should since so some still such thank that the their
+then there therefore these they third this those though three thus to today tomorrow too two under until very was we were what when where whether
+which while who why will with without would yes yesterday yet you your""".split()
+)
 
 #: Shortened days and months; as MAYBE, but not before a number.
 CALENDAR = "jan feb mar apr jun jul aug sep sept oct okt nov dec dez déc mon tue tues wed thu thur thurs fri sat sun".split()
@@ -61,15 +82,29 @@ OTHER = frozenset("the of and to a in is that le la les et du que un une el los
 #: Lower-case words of names, titles and offices.
 OF_NAMES = frozenset((*NOBILIARY, *"der den dem des die das und für im am zu zum zur of the for and on in at to hon de del la las le les el los du da do et y e pour por señor señora presidente presidenta président présidente ministre ministro ministra".split()))
 
+_CLOSES = BRACKETS | QUOTES
 _CLOSING = "".join(sorted({c for x in (*BRACKETS.values(), *QUOTES.values()) for c in x}))
 _QUOTE_ENDS = "".join(QUOTES.values())
 _OPENING = "".join({*BRACKETS, *QUOTES})
 _STOPS = LATIN_STOPS + WIDE_STOPS + INDIC_STOPS + OTHER_STOPS
-_RUN = rf"[{regex.escape(_STOPS)}]+(?:[ \u00a0\u202f]?[!?…।॥]+)*"
-_MARK = regex.compile(rf"({_RUN})|([{regex.escape(_OPENING + _CLOSING)}])|(\n)|({THAI_ENDS})")
+
+
+def _mark_pattern(has) -> regex.Pattern:
+    """Pattern of the marks among the characters for which has(character); long classes are slow."""
+    some = lambda chars: "".join(regex.escape(c) for c in chars if has(c))
+    run = rf"[{some(_STOPS)}]+(?:[ \u00a0\u202f]?[{some('!?…।॥')}]+)*"
+    return regex.compile(rf"({run})|([{some(_OPENING + _CLOSING)}])|(\n)" + (rf"|({THAI_ENDS})" if has("ค") else "|(?!)()"))
+
+
+_MARK_ASCII, _MARK_USUAL, _MARK = _mark_pattern(str.isascii), _mark_pattern(lambda c: c not in OTHER_STOPS), _mark_pattern(lambda c: True)
+_OTHER, _FULL = frozenset(OTHER_STOPS), frozenset(WIDE_STOPS + "।॥" + OTHER_STOPS)
 _BLANK = regex.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*")
 _EDGE = regex.compile(r"\S(?:.*\S)?", regex.DOTALL)
 _WORD = regex.compile(r"\p{L}+")
+_ACRONYM = regex.compile(r"(?:\p{Lu}\.)+\p{Lu}")
+#: The nearest character before a place, or from it on, that tells the script: a letter, or any from Devanagari on but stops.
+_TELLS = rf"[\p{{L}}\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\U00020000-\U0010ffff--[{regex.escape(_STOPS)}]]"
+_TELL_BACK, _TELL_ON = (regex.compile(way + _TELLS, regex.V1) for way in ("(?r)", ""))
 _SPACE = regex.compile(r"\s*")
 _NUMERAL = r"\d{1,9}(?:[.．]\d{1,9})*[a-z]?|[ivxlcdm]+|[IVXLCDM]+|[一二三四五六七八九十百]+|[甲乙丙丁]|[\u2160-\u217f]+|[\u2460-\u24ff\u2776-\u2793\u3220-\u3247]|(?:(?![\p{Han}\p{Hiragana}])\p{L})(?:(?<=[a-z])[a-z]|(?<=[A-Z])[A-Z])?"
 _ITEM = regex.compile(
@@ -136,9 +171,11 @@ def abbreviation(text: str, start: int, end: int) -> str:
         node, i = node[c], i - 1
 
 
-def script_of(text: str) -> tuple[str, bool, bool]:
-    """ja, zh, th, hi or an empty string for other scripts, by what makes up a good part of a text; whether its Han characters go
-    with kana; and whether its words are German."""
+def script_of(text: str) -> tuple[str, bool]:
+    """ja, zh, th, hi or an empty string for other scripts, by what makes up a good part of a text; and whether its Han characters go
+    with kana."""
+    if text.isascii():
+        return "", False
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     wide = codes[codes >= 0x900]
     latin = np.count_nonzero((codes | 32) - 97 < 26) + np.count_nonzero((codes >= 0xC0) & (codes < 0x900))
@@ -153,8 +190,7 @@ def script_of(text: str) -> tuple[str, bool, bool]:
             script = "th"
         elif within(0x900, 0x980) > share:
             script = "hi"
-    words = _WORD.findall(text.lower()) if latin else []
-    return script, kana, sum(w in GERMAN for w in words) > sum(w in OTHER for w in words)
+    return script, kana
 
 
 class Automaton:
@@ -162,9 +198,17 @@ class Automaton:
 
     def __init__(self, text: str):
         self.text = text
-        self.script, self.kana, self.german = script_of(text)
+        self.script, self.kana = script_of(text)
+        self.mark = _MARK_ASCII if text.isascii() else _MARK_USUAL if _OTHER.isdisjoint(text) else _MARK
+        self._told = (0, self.script)  # up to where the text was searched for a script, and the last one found
         self.levels: list[dict[tuple[str, str, str], tuple[int, ...]]] = []
 
+    @cached_property
+    def german(self) -> bool:
+        """Whether the words of the text are German."""
+        words = _WORD.findall(self.text.lower())
+        return sum(map(GERMAN.__contains__, words)) > sum(map(OTHER.__contains__, words))
+
     def ends(self) -> Iterator[int]:
         at = 0
         for gap in _BLANK.finditer(self.text):
@@ -173,27 +217,31 @@ class Automaton:
         yield from self._paragraph(at, len(self.text))
 
     def _script(self, at: int, step: int = -1) -> str:
-        """Script of the nearest letter before a position (or, with step 1, from it on), so that texts may mix languages."""
+        """Script of the nearest letter before a position (or, with step 1, from it on), so that texts may mix languages; that of the
+        text where there is none. What was passed over once isn't searched again."""
         i = at if step > 0 else at - 1
-        for _ in range(60):
-            if not 0 <= i < len(self.text):
-                break
-            c, i = self.text[i], i + step
-            if c < "\u0900":
-                if c.isalpha():
-                    return ""
-            elif c not in _STOPS:
-                if c < "\u0980":
-                    return "hi"
-                if "\u0e00" <= c < "\u0e80":
-                    return "th"
-                if "\u3040" <= c < "\u3100":
-                    return "ja"
-                if "\u3400" <= c < "\ua000" or c >= "\U00020000":
-                    return "ja" if self.kana else "zh"
-                if c.isalpha():
-                    return ""
-        return self.script
+        if 0 <= i < len(self.text) and self.text[i].isalpha():  # as mostly; a letter tells in any case
+            return self._script_of(self.text[i])
+        if step > 0:
+            m = _TELL_ON.search(self.text, at)
+            return self._script_of(m[0]) if m else self.script
+        before, script = self._told
+        if at < before:
+            before, script = 0, self.script
+        m = _TELL_BACK.search(self.text, before, at)
+        self._told = (at, self._script_of(m[0]) if m else script)
+        return self._told[1]
+
+    def _script_of(self, c: str) -> str:
+        if c < "\u0900":
+            return ""
+        if c < "\u0980":
+            return "hi"
+        if "\u0e00" <= c < "\u0e80":
+            return "th"
+        if "\u3040" <= c < "\u3100":
+            return "ja"
+        return ("ja" if self.kana else "zh") if "\u3400" <= c < "\ua000" or c >= "\U00020000" else ""
 
     def _next(self, at: int, stop: int) -> int:
         return _SPACE.match(self.text, at, stop).end()
@@ -202,10 +250,11 @@ class Automaton:
         """Marks at the bottom of the stack as (start, end, kind). A closed pair is one mark, bracket or quote; an opening mark
         that is never closed, and a closing one that was never opened, don't count."""
         text = self.text
-        stack: list[tuple[int, str, str]] = []
+        stack: list[tuple[int, str]] = []
+        closers: dict[str, list[int]] = {}  # by mark: depths of the stack that it may close, some of them gone by now
         pairs: list[tuple[int, int, str]] = []
         flat: list[tuple[int, int, str]] = []
-        for m in _MARK.finditer(text, start, stop):
+        for m in self.mark.finditer(text, start, stop):
             c = m[2]
             if c is None:
                 flat.append((m.start(), m.end(), "stop" if m[1] else "line" if m[3] else "particle"))
@@ -213,12 +262,17 @@ class Automaton:
             i = m.start()
             if c == "’" and i + 1 < stop and text[i + 1].isalpha() and i > start and text[i - 1].isalpha():
                 continue  # an apostrophe
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if c in stack[d][2]), -1)
-            if depth >= 0:
-                pairs.append((stack[depth][0], i + 1, "bracket" if stack[depth][1] in BRACKETS else "quote"))
-                del stack[depth:]
-            elif c in BRACKETS or c in QUOTES:
-                stack.append((i, c, BRACKETS.get(c) or QUOTES[c]))
+            depths = closers.get(c)
+            while depths and (depths[-1] >= len(stack) or c not in _CLOSES[stack[depths[-1]][1]]):
+                depths.pop()
+            if depths:
+                opened, o = stack[depths[-1]]
+                pairs.append((opened, i + 1, "bracket" if o in BRACKETS else "quote"))
+                del stack[depths[-1] :]
+            elif c in _CLOSES:
+                for x in _CLOSES[c]:
+                    closers.setdefault(x, []).append(len(stack))
+                stack.append((i, c))
         outer: list[tuple[int, int, str]] = []
         for p in sorted(pairs):
             if not outer or p[0] >= outer[-1][1]:
@@ -275,10 +329,18 @@ class Automaton:
         if unit < stop:
             yield stop
 
+    def _after_break(self, at: int, start: int) -> bool:
+        """Whether only white space and a line break stand before a position."""
+        while at > start and self.text[at - 1].isspace():
+            at -= 1
+            if self.text[at] == "\n":
+                return True
+        return False
+
     def _speaker(self, at: int, start: int, stop: int) -> int | None:
         """End of the speaker line that begins at ``at``, if the line does."""
         text = self.text
-        if at >= stop or (at > start and "\n" not in text[max(start, at - 40) : at][len(text[max(start, at - 40) : at].rstrip()) :]):
+        if at >= stop or (at > start and not self._after_break(at, start)):
             return None
         brk = text.find("\n", at, stop)
         end = stop if brk < 0 else brk
@@ -304,7 +366,11 @@ class Automaton:
         if (line := self._speaker(at, unit, stop)) is None or not (self.text[at].isupper() or self._script(at, 1)):
             return None
         before = self.text[self.text.rfind("\n", 0, a) + 1 : a].strip()
-        return len(self.text[:a].rstrip()) if self._fits(before, self.text[at:line]) or self._named(at, line) else None
+        if not (self._fits(before, self.text[at:line]) or self._named(at, line)):
+            return None
+        while a > unit and self.text[a - 1].isspace():
+            a -= 1
+        return a
 
     def _fits(self, before: str, line: str) -> bool:
         """Whether a line's first word had room on the line before, so that the break between them isn't one of wrapped text. A
@@ -363,7 +429,7 @@ class Automaton:
         at = self._next(b, stop)
         if at >= stop:
             return stop
-        if any(c in WIDE_STOPS or c in "।॥" + OTHER_STOPS for c in run):
+        if not _FULL.isdisjoint(run):
             return b
         if "|" in run:
             return b if script == "hi" else None
@@ -405,7 +471,7 @@ class Automaton:
             if word.isdigit() and (low == unit or text[max(unit, low - 4) : low] == "TOP " or (self.german and len(word) < 4)):
                 return False
             return not nxt.islower() or self._begins(at, stop)
-        if kind == "always":
+        if kind == "always" or (word[:1].isupper() and word.lower() in TITLES and nxt.isupper()):
             return False
         if kind == "number":
             return not nxt.isdigit() and len(word) > 2 and self._begins(at, stop)
@@ -415,6 +481,8 @@ class Automaton:
             return self._begins(at, stop)
         if len(word) == 1 and word.isalpha():  # an initial, unless it's the English pronoun
             return word == "I" and text[low - 2 : low - 1].islower() and self._begins(at, stop)
+        if _ACRONYM.fullmatch(word) and (m := _WORD.match(text, at, stop)) and m[0].lower() not in STARTERS and self._script(a) == "" and not self.german:
+            return False
         return self._begins(at, stop)
 
 
@@ -439,3 +507,25 @@ def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0).take(which), pa.array([x for e in found for x in e], pa.int32())], names=[doc_id, "end_char"])
 
     return rows.mapInArrow(walk, f"{doc_id} {kind}, end_char int")
+
+
+def sentence_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, start_char, end_char, unit) with the text of each unit; otherwise as split_sentences."""
+    kind = dict(documents.dtypes)[doc_id]
+    rows = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which, spans, units = [], [], []
+            for i, t in enumerate(b.column(1)):
+                t, at = t.as_py(), 0
+                for end in unit_ends(t):
+                    at = _SPACE.match(t, at).end()
+                    which.append(i)
+                    spans.append((at, end))
+                    units.append(t[at:end])
+                    at = end
+            low, high = (pa.array([x[k] for x in spans], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), low, high, pa.array(units, pa.string())], names=[doc_id, "start_char", "end_char", "unit"])
+
+    return rows.mapInArrow(walk, f"{doc_id} {kind}, start_char int, end_char int, unit string")
