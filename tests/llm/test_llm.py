@@ -187,6 +187,44 @@ def test_leaks_brute_force(spark, monkeypatch, run, passes):
     assert len(rows(got)) > 15
 
 
+def test_chunks_common_to_many_items_cost_no_pairs():
+    import time
+    import tracemalloc
+
+    rnd = random.Random(3)
+    some = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    head = some(20)
+    texts = [head + some(45) for _ in range(5000)] + [some(20) + head + some(20)]
+    patterns = leak.Patterns([[i] for i in range(len(texts))], texts)
+    doc = "".join(head + "xyz" for _ in range(3000))
+    tracemalloc.start()
+    began = time.time()
+    assert patterns.search([7], [doc]) == set()
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 2 and peak < 50e6
+    assert patterns.search([7, 8], [doc + texts[17] + doc, texts[-1][:40]]) == {(17, 7), (5000, 8)}
+    shared = some(60)
+    many = leak.Patterns([[i, -i] for i in range(1, 3000)], [shared + some(5) for _ in range(1, 3000)])
+    assert len(many.search([1], [shared * 500])) == 2 * 2999
+
+
+def test_windows_of_equal_hash_are_compared(monkeypatch):
+    monkeypatch.setattr(leak.Patterns, "window_hashes", lambda self, text, at: (text[at] % 2).astype("uint64"))
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abc") for _ in range(30)) for _ in range(20)]
+    docs = [rnd.choice(texts)[: rnd.randrange(30)] + "".join(rnd.choice("abc") for _ in range(30)) for _ in range(40)]
+    got = leak.Patterns([[i] for i in range(20)], texts, 8).search(list(range(40)), docs)
+    assert sorted(got) == plain_leaks(list(enumerate(docs)), list(enumerate(texts)), 8)
+
+
+def test_repeated_ids_of_items_give_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(leak, "PASS_CHARS", 50)
+    docs = spark.createDataFrame([(1, "x" * 50 + "y" * 50), (1, "x" * 60)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "x" * 45), (5, "y" * 45), (5, "x" * 45), (6, "x" * 45)], "item_id long, text string")
+    assert rows(leak.find_leaks(docs, items)) == [(5, 1), (6, 1)]
+
+
 def test_leaks_of_nothing(spark):
     docs = spark.createDataFrame([(1, "x" * 100)], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
