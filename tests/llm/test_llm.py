@@ -70,6 +70,41 @@ def test_generations_are_all_asked(spark):
     assert [r.matched == 32 for r in seen.probe(keys([b"a", b"c", b"zz"]), "key", "id", index, 3).orderBy("id").collect()] == [True, True, False]
 
 
+def test_a_sealed_set_in_a_folder(spark, tmp_path):
+    rnd, known, n = random.Random(9), set(), 0
+    make = lambda: seen.SealedKeys(spark, f"file://{tmp_path}/sealed", most=3)
+    earlier = [b"k%d" % i for i in range(60)] + [None, b""]
+    make().hold(spark.createDataFrame([(k, "c") for k in earlier], "key binary, h1 string"), "key")
+    known |= {k for k in earlier if k is not None}
+    most = 0
+    for step in range(1, 6):
+        batch = []
+        for _ in range(40):
+            n += 1
+            batch.append((n, rnd.choice([None, b"hot", b"k%d" % rnd.randrange(40 * step)]), "clash"))
+        df, want = spark.createDataFrame(batch, "arrival_id long, key binary, part string"), set()
+        for i, k, _ in batch:
+            want |= {i} if k is not None and k in known else set()
+            known |= {k} - {None}
+        before = {r.arrival_id for r in make().seen(df, "key", "arrival_id").collect()}
+        assert before == want == {r.arrival_id for r in make().apply(df, "key", "arrival_id", step).collect()}  # each time by another process
+        most = max(most, make().generations())
+    assert want == {r.arrival_id for r in make().apply(df, "key", "arrival_id", 5).collect()}  # a step that is repeated
+    assert most <= 2 and make()._hashes_of(make()._state()["steps"]).count() == len(known)
+    with pytest.raises(ValueError):
+        make().hold(df, "key")
+    make().close()
+
+
+def test_batches_of_arrivals(spark):
+    rnd = random.Random(2)
+    new = [(i, rnd.choice([None, b"hot", *[b"k%d" % x for x in range(50)]]), "x") for i in range(-40, 200)]
+    old = spark.createDataFrame([(b"k%d" % i, "", 0) for i in range(20)], EARLIER)
+    df = spark.createDataFrame(new, INCOMING)
+    assert rows(seen.seen_before(old, df, "key", "arrival_id", batches=4)) == rows(seen.seen_before(old, df, "key", "arrival_id"))
+    assert seen.seen_before(old, df.where("false"), "key", "arrival_id", batches=4).count() == 0
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 

@@ -28,6 +28,22 @@ def p1_error_rate(spark: SparkSession, sf: str) -> DataFrame:
     return error_rate(_read(spark, sf, "entries"), _read(spark, sf, "incoming_entries"), "key", "arrival_id")
 
 
+def p1_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """As p1_found, with the arrivals in three batches of which each adds its keys to the sealed set before the next."""
+    return seen_before(_read(spark, sf, "entries"), _read(spark, sf, "incoming_entries"), "key", "arrival_id", batches=3)
+
+
+def p1_asked(spark: SparkSession, sf: str) -> DataFrame:
+    """What p1_error_rate asks: keys, new ones among them, and seen ones that were missed."""
+    return p1_error_rate(spark, sf).select("fingerprint_bits", "asked", "new_keys", "missed")
+
+
+def p1_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """How the rate of wrong answers grows with the number of generations that a key is held against."""
+    rates = [error_rate(_read(spark, sf, "entries"), _read(spark, sf, "incoming_entries"), "key", "arrival_id", (8, 16), g).withColumn("generations", F.lit(g)) for g in (1, 2, 4)]
+    return rates[0].unionByName(rates[1]).unionByName(rates[2])
+
+
 def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Every speech, by tokens, in windows of each container's capacity."""
     containers = _read(spark, sf, "containers").where("container_id is not null and capacity_tokens > 0").limit(MOST_CONTAINERS + 1).collect()
@@ -76,7 +92,7 @@ def p9_cover(spark: SparkSession, sf: str) -> DataFrame:
     return units.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("unit", _BLANKS, ""))).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p7_pack, p7_fill, p8_found, p8_items, p9_found, p9_units, p9_cover)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p1_batches, p1_asked, p1_generations, p7_pack, p7_fill, p8_found, p8_items, p9_found, p9_units, p9_cover)}
 
 _P8 = rf"""WITH n AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM eval_items WHERE text IS NOT NULL),
@@ -85,10 +101,15 @@ b AS (SELECT doc_id, substr(t, p, {RUN}) AS g FROM (SELECT doc_id, t, unnest(ran
 f AS (SELECT DISTINCT a.item_id, b.doc_id FROM b JOIN (SELECT DISTINCT item_id, g FROM a) a ON a.g = b.g)
 """
 
+_P1 = """WITH i AS (SELECT arrival_id, key, row_number() OVER (PARTITION BY key ORDER BY arrival_id) AS r FROM incoming_entries WHERE key IS NOT NULL)
+SELECT arrival_id FROM i WHERE r > 1 OR EXISTS (SELECT 1 FROM entries e WHERE e.key = i.key)"""
+
 ORACLE = {
+    "p1_batches": _P1,
+    "p1_asked": """WITH k AS (SELECT DISTINCT key FROM incoming_entries WHERE key IS NOT NULL), n AS (SELECT count(*) AS asked, count(*) FILTER (NOT EXISTS (SELECT 1 FROM entries e WHERE e.key = k.key)) AS new_keys FROM k)
+SELECT b AS fingerprint_bits, asked, new_keys, 0 AS missed FROM n, unnest([8, 16, 32]) AS u(b) WHERE asked > 0""",
     "p9_cover": f"""SELECT doc_id, length(t) AS chars FROM (SELECT doc_id, regexp_replace(text, '{_BLANKS}', '', 'g') AS t FROM documents) WHERE t <> ''""",
-    "p1_found": """WITH i AS (SELECT arrival_id, key, row_number() OVER (PARTITION BY key ORDER BY arrival_id) AS r FROM incoming_entries WHERE key IS NOT NULL)
-SELECT arrival_id FROM i WHERE r > 1 OR EXISTS (SELECT 1 FROM entries e WHERE e.key = i.key)""",
+    "p1_found": _P1,
     "p8_found": _P8 + "SELECT item_id, doc_id FROM f",
     "p8_items": _P8 + "SELECT item_id, count(*) AS docs FROM f GROUP BY item_id",
 }
