@@ -9,6 +9,7 @@ number of windows rises; what the last rise passed over is then searched for a s
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 import importlib.util
 from collections.abc import Iterator
@@ -52,42 +53,79 @@ def count_tokens(df: DataFrame, text: str, folder: str = TOKENIZERS, vocabulary:
     return df.select(*rest, text).mapInArrow(count, schema)
 
 
+def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two partial partitions as one: the windows that have to be shared are the emptiest of each, in opposing order."""
+    (sums_a, item_a), (sums_b, item_b) = a, b
+    both = len(sums_a) + len(sums_b) - k
+    if both <= 0:
+        sums, item = np.concatenate([sums_a, sums_b]), np.concatenate([item_a, item_b])
+    else:
+        la, lb = len(sums_a) - both, len(sums_b) - both
+        parent[item_b[lb:][::-1]] = item_a[la:]
+        sums = np.concatenate([sums_a[:la], sums_b[:lb], sums_a[la:] + sums_b[lb:][::-1]])
+        item = np.concatenate([item_a[:la], item_b[:lb], item_a[la:]])
+    down = np.argsort(-sums, kind="stable")
+    return sums[down], item[down]
+
+
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Divides positive sizes among k windows by multiway differencing: window of each item, and the window sums."""
-    parent = list(range(len(sizes)))
+    """Divides positive sizes among k windows by multiway differencing: window of each item, and the window sums.
+
+    Of all partial partitions and single items the two with the largest spread are merged. Windows that a partial partition lacks
+    count as empty, so one that isn't full yet takes in the next items one after the other: they are taken in at once. So are items
+    that go to the emptiest window of a full one."""
+    n = len(sizes)
+    if not n:
+        return np.full(0, -1), np.zeros(0, dtype=np.int64)
     order = np.argsort(-sizes, kind="stable")
+    down, parent, i = sizes[order].astype(np.int64), np.arange(n), 0
+    low = down.tolist()
     # (minus the spread, tie-break, window sums from the fullest down, one item of each); empty windows are left out.
-    heap = [(-int(sizes[i]), n, np.array([sizes[i]], dtype=np.int64), np.array([i])) for n, i in enumerate(order)] if k > 1 else [(0, n, np.array([sizes[i]], dtype=np.int64), np.array([i])) for n, i in enumerate(order)]
-    heapq.heapify(heap)
-    count = len(heap)
-    while len(heap) > 1:
-        _, _, a, ai = heapq.heappop(heap)
-        _, _, b, bi = heapq.heappop(heap)
-        both = len(a) + len(b) - k
-        if both <= 0:
-            sums, item = np.concatenate([a, b]), np.concatenate([ai, bi])
-        else:  # the emptiest of each are all that have to share, in opposing order
-            la, lb = len(a) - both, len(b) - both
-            for x, y in zip(ai[la:], bi[lb:][::-1]):
-                parent[y] = x
-            sums = np.concatenate([a[:la], b[:lb], a[la:] + b[lb:][::-1]])
-            item = np.concatenate([ai[:la], bi[:lb], ai[la:]])
-        down = np.argsort(-sums, kind="stable")
-        sums, item = sums[down], item[down]
-        spread = int(sums[0]) - (int(sums[-1]) if len(sums) == k else 0)
-        heapq.heappush(heap, (-spread, count, sums, item))
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def push(sums: np.ndarray, item: np.ndarray) -> None:
+        nonlocal count
+        heapq.heappush(heap, (int(sums[-1]) * (len(sums) == k) - int(sums[0]), count, sums, item))
         count += 1
-    window = np.full(len(sizes), -1)
-    if not heap:
-        return window, np.zeros(0, dtype=np.int64)
-    _, _, sums, item = heap[0]
+
+    while True:
+        if not heap or (i < n and low[i] > -heap[0][0]):
+            sums, item, i = down[i : i + 1], order[i : i + 1], i + 1
+        else:
+            _, _, sums, item = heapq.heappop(heap)
+        rival = -heap[0][0] if heap else -1
+        if i == n and rival < 0:
+            break
+        if i == n or low[i] < rival:
+            _, _, other, theirs = heapq.heappop(heap)
+            push(*_merge((sums, item), (other, theirs), k, parent))
+        elif len(sums) < k:
+            far = i + int(np.searchsorted(-down[i : i + k - len(sums)], -rival, side="right"))
+            sums, item = np.concatenate([sums, down[i:far]]), np.concatenate([item, order[i:far]])
+            if sums[len(sums) - (far - i) - 1] < down[i]:
+                again = np.argsort(-sums, kind="stable")
+                sums, item = sums[again], item[again]
+            i = far
+            push(sums, item)
+        else:  # windows from the emptiest up
+            up, who = sums[::-1].tolist(), item[::-1].tolist()
+            while True:
+                size = low[i]
+                total, at = up.pop(0) + size, who.pop(0)
+                parent[order[i]] = at
+                place = bisect.bisect_left(up, total)
+                up.insert(place, total)
+                who.insert(place, at)
+                i += 1
+                if i == n or low[i] < rival or up[-1] - up[0] < max(rival, low[i]):
+                    break
+            push(np.array(up[::-1], dtype=np.int64), np.array(who[::-1], dtype=np.int64))
+    while (up := parent[parent]).tolist() != parent.tolist():
+        parent = up
+    window = np.full(n, -1)
     window[item] = np.arange(len(item))
-    for i in range(len(sizes)):
-        path = [i]
-        while window[path[-1]] < 0:
-            path.append(parent[path[-1]])
-        window[path] = window[path[-1]]
-    return window, sums
+    return window[parent], sums
 
 
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
