@@ -153,6 +153,40 @@ def test_fill_ends_one_above_a_count_that_does_not_fit():
         assert k == least or pack.differencing(sizes, k - 1)[1].max() > 512
 
 
+def test_no_smaller_count_fits():
+    rng = np.random.default_rng(1)
+    for t in range(120):
+        m = int(rng.integers(5, 300))
+        sizes = [rng.integers(1, 100, m), np.minimum(rng.lognormal(3, 1, m).astype(int) + 1, 100), rng.choice([23, 46, 47, 20], m), rng.integers(20, 60, m)][t % 4]
+        used = int(pack.fill(sizes, 100).max()) + 1
+        least = max(-(-int(sizes.sum()) // 100), int((sizes * 2 > 100).sum()), 1)
+        assert all(pack.differencing(sizes, k)[1].max() > 100 for k in range(least, used))
+
+
+def test_differencing_merges_the_two_with_the_largest_spread():
+    def plain(sizes, k):
+        parts = [sorted([s] + [0] * (k - 1)) for s in sizes]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[0] - p[-1])
+            parts = [sorted(x + y for x, y in zip(parts[0], parts[1][::-1])), *parts[2:]]
+        return [x for x in parts[0] if x]
+
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 3, 7, 20, 60):
+        sizes = rng.choice(10**9, 50, replace=False) + 1  # no ties
+        window, sums = pack.differencing(sizes, k)
+        assert sorted(sums) == plain(sizes.tolist(), k) and (np.bincount(window, weights=sizes) == sums).all()
+
+
+def test_containers_listed_twice_and_alike(spark):
+    df = spark.createDataFrame([(i, 40) for i in range(10)], "doc_id long, tokens long")
+    got = pack.pack(df, "doc_id", "tokens", [(1, 100), (1, 100), (2, 100), (1, 50)]).groupBy("container_id", "window").agg(F.count("*").alias("n")).collect()
+    assert sorted((r.container_id, r.n) for r in got if r.n == 2) == [(2, 2)] * 5
+    assert sum(r.n for r in got if r.container_id == 1) == 20
+    many = pack.pack(df, "doc_id", "tokens", {i: 40 + i for i in range(1500)})
+    assert many.groupBy("container_id").agg(F.count("*").alias("n")).agg(F.min("n"), F.max("n"), F.count("*")).first()[:] == (10, 10, 1500)
+
+
 def test_pack_divides_only_what_is_larger(spark):
     items = [(i, n) for i, n in enumerate([None, 0, 1, 99, 100, 101, 350, -5, 7, 7, 7])] + [(None, 3), (2, 4)]
     df = spark.createDataFrame([(*x, "clash") for x in items], "item long, tokens int, shard string")

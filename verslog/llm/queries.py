@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verslog.llm.leak import RUN, find_leaks
-from verslog.llm.pack import count_tokens, pack
+from verslog.llm.pack import SHARD_ITEMS, count_tokens, pack
 from verslog.llm.seen import error_rate, seen_before
 from verslog.llm.sentences import sentence_units, split_sentences
 
-#: The table of containers is a handful of settings; more rows than this are no such table.
-MOST_CONTAINERS = 1000
-
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -46,12 +43,10 @@ def p1_generations(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Every speech, by tokens, in windows of each container's capacity."""
-    containers = _read(spark, sf, "containers").where("container_id is not null and capacity_tokens > 0").limit(MOST_CONTAINERS + 1).collect()
-    if len(containers) > MOST_CONTAINERS:
-        raise ValueError("too many containers")
+    containers = _read(spark, sf, "containers").where("container_id is not null and capacity_tokens > 0").select("container_id", "capacity_tokens").distinct().toLocalIterator()
     sized = count_tokens(_read(spark, sf, "documents").select("doc_id", "text"), "text")
     docs = _read(spark, sf, "documents").count()
-    return pack(sized, "doc_id", "tokens", {r.container_id: r.capacity_tokens for r in containers}, shards=max(1, -(-docs // 4096)))
+    return pack(sized, "doc_id", "tokens", [tuple(r) for r in containers], shards=max(1, -(-docs // SHARD_ITEMS)))
 
 
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,6 +56,16 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return used.join(caps, "container_id").withColumn("used", F.col("tokens") / (F.col("windows") * F.col("capacity_tokens")))
 
 
+def p7_account(spark: SparkSession, sf: str) -> DataFrame:
+    """Per container: speeches that were assigned, speeches that were divided without need, and windows over the capacity."""
+    pieces = p7_pack(spark, sf).join(_read(spark, sf, "containers").select("container_id", "capacity_tokens"), "container_id")
+    docs = pieces.groupBy("container_id", "capacity_tokens", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    docs = docs.groupBy("container_id").agg(F.count("*").alias("docs"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("divided_needlessly"))
+    windows = pieces.groupBy("container_id", "capacity_tokens", "window").agg(F.sum("tokens").alias("tokens"))
+    over = windows.groupBy("container_id").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"))
+    return docs.join(over, "container_id")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Speeches that share a run of 40 letters and numbers with a test item."""
     return find_leaks(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
@@ -92,7 +97,7 @@ def p9_cover(spark: SparkSession, sf: str) -> DataFrame:
     return units.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("unit", _BLANKS, ""))).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p1_batches, p1_asked, p1_generations, p7_pack, p7_fill, p8_found, p8_items, p9_found, p9_units, p9_cover)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p1_batches, p1_asked, p1_generations, p7_pack, p7_fill, p7_account, p8_found, p8_items, p9_found, p9_units, p9_cover)}
 
 _P8 = rf"""WITH n AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM eval_items WHERE text IS NOT NULL),
@@ -110,6 +115,7 @@ ORACLE = {
 SELECT b AS fingerprint_bits, asked, new_keys, 0 AS missed FROM n, unnest([8, 16, 32]) AS u(b) WHERE asked > 0""",
     "p9_cover": f"""SELECT doc_id, length(t) AS chars FROM (SELECT doc_id, regexp_replace(text, '{_BLANKS}', '', 'g') AS t FROM documents) WHERE t <> ''""",
     "p1_found": _P1,
+    "p7_account": "SELECT container_id, (SELECT count(*) FROM documents) AS docs, 0 AS divided_needlessly, 0 AS overfull FROM containers",
     "p8_found": _P8 + "SELECT item_id, doc_id FROM f",
     "p8_items": _P8 + "SELECT item_id, count(*) AS docs FROM f GROUP BY item_id",
 }
