@@ -57,8 +57,10 @@ def read_own_writes(log: DataFrame, writes: DataFrame, at: int) -> DataFrame:
 
 
 def conflicts(reads: DataFrame, log: DataFrame) -> DataFrame:
-    """Reads (txn_id, key, seq_seen; 0 for an absent key) whose key has a newer version by now, with its seq."""
-    now = log.groupBy("key").agg(F.max("seq").alias("seq_now"))
+    """Reads (txn_id, key, seq_seen; 0 for an absent key) whose key has a newer version by now, with its seq. Only versions of read keys
+    above the oldest one seen are aggregated."""
+    asked = reads.groupBy(F.col("key").alias("__k")).agg(F.min("seq_seen").alias("__s"))
+    now = log.join(asked, (F.col("key") == F.col("__k")) & (F.col("seq") > F.col("__s")), "left_semi").groupBy("key").agg(F.max("seq").alias("seq_now"))
     return reads.join(now, "key").where("seq_now > seq_seen").select("txn_id", "key", "seq_seen", "seq_now")
 
 

@@ -594,7 +594,25 @@ def bloom_members(spark, sf):
     return bloom.probe(filters, stored, m, k).select("file", F.hex("key").alias("key"))
 
 
-@query()
+# The same filters as sets of bits, with hashes in whole numbers of 128 bits.
+_U = "::UHUGEINT"
+_BITS = f"""WITH s AS (SELECT DISTINCT CAST(coalesce(level, -1) AS varchar) AS file, key FROM entries WHERE key IS NOT NULL),
+z AS (SELECT ceil(-n * ln(0.01::DOUBLE) / (ln(2) * ln(2))) AS m, n FROM (SELECT greatest(1, count(*)) AS n FROM entries WHERE key IS NOT NULL)),
+mk AS (SELECT CAST(m AS UHUGEINT) AS m, CAST(greatest(1, floor(m / n * ln(2) + 0.5)) AS bigint) AS k FROM z),
+i AS (SELECT DISTINCT key FROM incoming_entries WHERE key IS NOT NULL), q AS (SELECT key FROM i UNION SELECT key FROM s),
+b AS (SELECT key, list_transform(range(octet_length(key)::BIGINT), lambda j: (strpos('123456789ABCDEF', substr(hex(key), 2 * j + 1, 1)) * 16 + strpos('123456789ABCDEF', substr(hex(key), 2 * j + 2, 1))){_U}) AS bytes FROM q),
+f AS (SELECT key, list_reduce(list_prepend({bloom.FNV_OFFSET}{_U}, bytes), lambda h, x: (xor(h, x) * {bloom.FNV_PRIME}{_U}) % {2**64}{_U}) AS h FROM b),
+g1 AS (SELECT key, h, xor(h, {bloom.GOLDEN}{_U}) AS g FROM f), g2 AS (SELECT key, h, (xor(g, g // {2**30}{_U}) * {bloom.MIX_1}{_U}) % {2**64}{_U} AS g FROM g1),
+g3 AS (SELECT key, h, (xor(g, g // {2**27}{_U}) * {bloom.MIX_2}{_U}) % {2**64}{_U} AS g FROM g2), g4 AS (SELECT key, h, xor(g, g // {2**31}{_U}) AS g FROM g3),
+p AS (SELECT key, ((h + (j{_U} * g) % {2**64}{_U}) % {2**64}{_U}) % m AS bit FROM (SELECT g4.*, m, unnest(range(k)) AS j FROM g4, mk)),
+w AS (SELECT DISTINCT file, bit FROM s JOIN p USING (key)),
+a AS (SELECT CAST(unnest([-1, 0, 1, 2, 3]) AS varchar) AS file, key FROM i),
+r AS (SELECT a.file, a.key, bool_and(w.bit IS NOT NULL) AS passed FROM a JOIN p USING (key) LEFT JOIN w ON w.file = a.file AND w.bit = p.bit GROUP BY ALL)
+"""
+
+
+@query(_BITS + """SELECT r.file, count(*) AS asked, count(*) FILTER (passed) AS passed, count(*) FILTER (passed AND s.key IS NULL) AS false_positives
+FROM r LEFT JOIN s ON s.file = r.file AND s.key = r.key GROUP BY r.file""")
 def bloom_probe(spark, sf):
     """Per tier: new keys asked, passed by its filter, and passed wrongly."""
     filters, stored, m, k = _filters(spark, sf)
