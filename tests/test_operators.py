@@ -328,3 +328,32 @@ def test_follower_repeats_a_batch(spark, tmp_path):
     assert f.records().count() == 5 and rows(f.state().select("key", "value", "seq")) == [("a", "1", 1)]
     leader = spark.createDataFrame([("s", 9), ("t", 4)], "store string, seq long")
     assert rows(ship.lag(leader, f.records(), "store")) == [("s", 9, 4, 5), ("t", 4, 0, 4)]
+
+
+def test_telemetry_of_filters():
+    t = bloom.Telemetry()
+    t.record("sst1", 50, 10)
+    t.record("sst2")
+    t.record("sst2")
+    assert t.stats("sst1") == (50, 10) and t.stats("none") is None and t.aggregate() == (52, 10)
+    assert t.rate(0.01) == 0.01  # too few to tell
+    t.record("sst2", 200, 50)
+    assert t.rate(0.01) == 0.005
+    t.remove("sst1")
+    t.remove("sst2")
+    assert t.aggregate() == (0, 0)
+    t.record("quiet", 200, 0)
+    assert t.rate(0.01) == 0.02 and t.rate(0.04) == bloom.FPR_MAX
+    t.record("quiet", 0, 200)
+    assert t.rate(0.001) == bloom.FPR_MIN
+
+
+def test_files_that_may_hold_a_key(spark):
+    stored = [(f, f"{f}{i}".encode()) for f in ("a", "b", "c") for i in range(60)] + [("c", b"a7")]
+    m, k = bloom.size(61, 0.001)
+    filters = bloom.build(spark.createDataFrame(stored, "file string, key binary"), "file", "key", m, k)
+    for key, files in ((b"a3", {"a"}), (b"a7", {"a", "c"}), (b"zz", set())):
+        assert {r.file for r in bloom.maybe_files(filters, key, m, k).collect()} >= files
+    asked = spark.createDataFrame([(f, key) for f in "abc" for key in (b"a3", b"a7", b"zz", b"b59")], "file string, key binary")
+    want = {(r.file, bytes(r.key)) for r in bloom.probe(filters, asked, m, k).collect()}
+    assert want == {(r.file, key) for key in (b"a3", b"a7", b"zz", b"b59") for r in bloom.maybe_files(filters, key, m, k).collect()}

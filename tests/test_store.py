@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verslog.operators import txn
+from verslog.operators import bloom, txn
 from verslog.operators.scan import Scan
 from verslog.sources import backup
 from verslog.sources.store import Closed, Config, KeyDeleted, KeyNotFound, RunLost, Store, StoreError, TxnClosed, TxnConflict, TxnTooLarge
@@ -292,6 +292,37 @@ def test_reads_delete_expired_keys_if_asked_to(spark, tmp_path):
     assert store.get(b"k", now_ns=100) == b"renewed"
 
 
+def test_filters_of_files_and_their_telemetry(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db", Config(filters=True, target_file_bytes=4000))
+    rows = spark.range(400).select(F.format_string("k%04d", F.col("id") * 2).alias("key"), F.lit("v").alias("value"))
+    store.write(rows, ["key"])
+    store.flush()
+    (run,) = store.manifest.runs
+    assert run.filter is not None and store.telemetry.aggregate() == (0, 0)
+    assert store.get(b"k0400") == b"v"
+    queries, wrong = store.telemetry.stats(run.path)
+    assert queries == wrong + 1
+    with pytest.raises(KeyNotFound):
+        store.get(b"k0401")
+    store.put(b"k0400", b"new")
+    store.delete(b"k0402")
+    store.flush()
+    assert store.get(b"k0400") == b"new"
+    with pytest.raises(KeyDeleted):
+        store.get(b"k0402")
+    assert Store(spark, store.folder).get(b"k0798") == b"v"  # another process reads the filters too
+    before = bloom.positions([b"x"], *run.filter).shape[1]
+    store.telemetry.record(run.path, 200, 150)  # too many wrong answers: the next filters are larger
+    old = run.path
+    store.compact()
+    (run,) = store.manifest.runs
+    assert store.telemetry.stats(old) is None and run.filter[1] > before
+    store.compact(to_bottom=True)
+    assert store.get(b"k0404") == b"v" and len(keys(store.scan())) == 399
+    store.vacuum()
+    assert store.get(b"k0406") == b"v"
+
+
 def test_two_writers_get_different_seqs(store, spark):
     other = Store(spark, store.folder)
     store.put(b"a", b"1")

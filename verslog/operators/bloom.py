@@ -159,3 +159,42 @@ def recommend(queries: Column, false_positives: Column, target: Column) -> Colum
     seen = F.coalesce(F.try_divide(false_positives, queries), F.lit(0.0))
     moved = F.when(seen > target, target * 0.5).when(seen < target * 0.25, target * 2).otherwise(target)
     return F.when(queries < LEAST_QUERIES, target).otherwise(F.greatest(F.lit(FPR_MIN), F.least(F.lit(FPR_MAX), moved)))
+
+
+class Telemetry:
+    """What filters answered in this process: per file how often one said that it may hold a key, and how often it didn't."""
+
+    def __init__(self):
+        self._files: dict[str, list[int]] = {}
+
+    def record(self, file: str, queries: int = 1, false_positives: int = 0) -> None:
+        have = self._files.setdefault(file, [0, 0])
+        have[0] += queries
+        have[1] += false_positives
+
+    def stats(self, file: str) -> tuple[int, int] | None:
+        """(queries, false positives), or None for a file that wasn't asked."""
+        return tuple(self._files[file]) if file in self._files else None
+
+    def remove(self, file: str) -> None:
+        self._files.pop(file, None)
+
+    def aggregate(self) -> tuple[int, int]:
+        return sum(q for q, _ in self._files.values()), sum(f for _, f in self._files.values())
+
+    def rate(self, target: float) -> float:
+        """The rate for the next filter, as ``recommend`` gives it for all files together."""
+        queries, wrong = self.aggregate()
+        if queries < LEAST_QUERIES:
+            return target
+        seen = wrong / queries
+        return max(FPR_MIN, min(FPR_MAX, target * 0.5 if seen > target else target * 2 if seen < target * 0.25 else target))
+
+
+def maybe_files(filters: DataFrame, key: bytes, m: int, k: int) -> DataFrame:
+    """(file) of the filters (file, word, bits) that may hold a key; the key's words are a condition that reads of sorted words prune by."""
+    at = positions([key], m, k)[0]
+    want = [(int(p) >> 6, int(np.uint64(1 << (int(p) & 63)).astype(np.int64))) for p in at]
+    hits = [F.max((F.col("word") == w) & (F.col("bits").bitwiseAND(F.lit(b).cast("long")) != 0)).alias(f"b{i}") for i, (w, b) in enumerate(want)]
+    found = filters.where(F.col("word").isin(sorted({w for w, _ in want}))).groupBy("file").agg(*hits)
+    return found.where(" and ".join(f"b{i}" for i in range(len(want)))).select("file")

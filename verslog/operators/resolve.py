@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verslog.functions.hashing import maybe_in
+from verslog.session import materialize
+
 #: Sequence numbers of a key that one as-of group orders.
 CELL = 1 << 16
 
@@ -60,9 +63,15 @@ def asof(log: DataFrame, probes: DataFrame, columns: list[str] | None = None, ce
 
     Keys are cut into cells of sequence numbers. The newest version of each cell is carried over to the next ones, and
     within a cell one window passes versions on to probes, so neither versions nor probes of a hot key meet in one task and
-    no pairs are made.
+    no pairs are made. Windows carry seq and tombstone alone; values are fetched afterwards, for the versions that were found.
     """
     columns = ["value"] if columns is None else columns
+    if columns:
+        found = materialize(asof(log, probes, [], cell), "asof")  # read twice below
+        one = found.where("found_seq is not null").select(F.col("key").alias("__k"), F.col("found_seq").alias("__s")).distinct()
+        rows = maybe_in(log.select("key", "seq", "tombstone", *columns), F.xxhash64("key", "seq"), one, F.xxhash64("__k", "__s"))
+        rows = rows.groupBy("key", "seq").agg(F.max(_version(columns)).alias("__v")).select(F.col("key").alias("__k"), F.col("seq").alias("__s"), *[F.col(f"__v.{c}").alias(f"found_{c}") for c in columns])
+        return found.join(rows, (F.col("key") == F.col("__k")) & (F.col("found_seq") == F.col("__s")), "left").drop("__k", "__s")
     extra = [c for c in probes.columns if c not in ("key", "at")]
     versions = log.where("key is not null and seq is not null").select("key", (F.floor(F.col("seq") / cell)).alias("cell"), F.col("seq").alias("pos"), _version(columns).alias("v"))
     kind = versions.schema["v"].dataType

@@ -72,7 +72,8 @@ class Raced(StoreError):
 @dataclass(frozen=True)
 class Config:
     """Thresholds and codecs; memory is the tier of small, just written runs. A write that brings it to ``mem_bytes`` or ``mem_runs``
-    flushes it. ``grace_s`` is the age from which a run without a commit is taken for that of a dead writer, ``patience_s`` the time
+    flushes it. With ``filters`` a folded run has an exact filter for each of its files: reads of one key open only files that may hold
+    it, and count what the filters said, by which the rate of the next ones is set. ``grace_s`` is the age from which a run without a commit is taken for that of a dead writer, ``patience_s`` the time
     for which a commit is tried. With ``lazy_expiry`` a read that meets an expired key deletes it."""
 
     mem_bytes: int = 64 << 20
@@ -85,6 +86,7 @@ class Config:
     grace_s: float = 24 * 3600.0
     patience_s: float = 300.0
     lazy_expiry: bool = False
+    filters: bool = False
 
 
 @dataclass
@@ -96,6 +98,8 @@ class Run:
     bytes: int
     latest_only: bool = False
     max_seq: int = 0
+    #: Bits and hash functions of the filters of its files, if it has such.
+    filter: tuple[int, int] | None = None
 
 
 @dataclass
@@ -149,6 +153,7 @@ class Store:
         self._pins: list[Snapshot] = []
         self._indexes: dict[str, KeyFn] = {}
         self._closed = False
+        self.telemetry = bloom.Telemetry()
         self.manifest = self._newest_manifest()
 
     # --- manifests and runs ------------------------------------------------------------------------------------------
@@ -203,10 +208,33 @@ class Store:
         size = F.coalesce(F.sum(merge.entry_bytes(merge.MEM_OVERHEAD)), F.lit(0)).alias("bytes")
         writer = rows.observe(seen, size, F.coalesce(F.max("n"), F.lit(0)).alias("last")).write.option("compression", self.config.codecs[level])
         if level > merge.MEM:  # readers skip row groups whose filter lacks the key
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_rate))
+            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.telemetry.rate(self.config.bloom_rate)))
         writer.parquet(f"{self.folder}/{path}")
         n = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}").count()  # from the footers
-        return Run(path, level, 0, n, seen.get["bytes"], max_seq=seen.get["last"])
+        run = Run(path, level, 0, n, seen.get["bytes"], max_seq=seen.get["last"])
+        if level > merge.MEM and n and self.config.filters:
+            run.filter = self._write_filters(path)
+        return run
+
+    def _write_filters(self, path: str) -> tuple[int, int]:
+        """Filters of the files of a run, sized for the largest file, in a folder that readers of the run pass over."""
+        keys = self.spark.read.schema(self._schema).parquet(f"{self.folder}/{path}").where(F.col("kind") == DATA).select(F.col("_metadata.file_name").alias("file"), "key")
+        most = keys.groupBy("file").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+        m, k = bloom.size(most, self.telemetry.rate(self.config.bloom_rate))
+        words = bloom.build(keys, "file", "key", m, k)
+        words.repartitionByRange(max(1, self.spark.sparkContext.defaultParallelism // 4), "word").sortWithinPartitions("word").write.parquet(f"{self.folder}/{path}/_filters")
+        return m, k
+
+    def _holding(self, run: Run, key: bytes) -> DataFrame | None:
+        """Rows of a run with filters that have a key, from the files that may hold it; what the filters said is counted."""
+        words = self.spark.read.schema("file string, word long, bits long").parquet(f"{self.folder}/{run.path}/_filters")
+        files = [r.file for r in bloom.maybe_files(words, key, *run.filter).collect()]
+        if not files:
+            return None
+        rows = self.spark.read.schema(self._schema).parquet(*[f"{self.folder}/{run.path}/{f}" for f in files]).where(F.col("key") == F.lit(key))
+        held = {r.file for r in rows.select(F.col("_metadata.file_name").alias("file")).distinct().collect()}
+        self.telemetry.record(run.path, len(files), len(set(files) - held))
+        return rows if held else None
 
     def _rows_of(self, runs: list[Run]) -> DataFrame:
         out = self.spark.createDataFrame([], self._schema).withColumns({"seq": F.lit(0).cast("long"), "level": F.lit(0)})
@@ -298,7 +326,12 @@ class Store:
 
     def _one(self, key: bytes, at: int | None = None, family: str = "", now_ns: int | None = None):
         """Status of one key; the key and the bound on seq are literals that the scan prunes row groups by."""
-        log = self.log(family).where(F.col("key") == F.lit(key))
+        runs = self.manifest.runs
+        log = self._rows_of([r for r in runs if r.filter is None])
+        for r in runs:
+            if r.filter is not None and (part := self._holding(r, key)) is not None:
+                log = log.unionByName(part.withColumns({"seq": F.col("n") + F.lit(r.base), "level": F.lit(r.level)}))
+        log = log.where((F.col("kind") == DATA) & (F.col("family") == family) & (F.col("key") == F.lit(key)))
         dead = self._deadlines(family, key) if now_ns is not None else None
         return resolve.get_status(log, self.spark.createDataFrame([(key,)], "key binary"), at, dead, now_ns).first()
 
@@ -505,6 +538,8 @@ class Store:
                 m.collected = max(m.collected, *(r.max_seq for r in old))
 
         self._commit(change)
+        for path in gone:
+            self.telemetry.remove(path)
 
     def flush(self) -> None:
         """Memory runs become one run of the first tier; that tier is compacted once it has enough runs."""
