@@ -53,8 +53,8 @@ def item_states(items: DataFrame, leases: DataFrame, bucket: int = BUCKET) -> Da
 
     A lease covers a prefix of its scope, so only the latest taken_at among leases from a position on matters: a running
     maximum from the highest position down. Scopes are cut into buckets of positions, and what leases above a bucket give is
-    carried in, so no task orders more than ``bucket`` positions however large a scope is; items that stay pending for a null
-    aren't shuffled at all.
+    carried in, so no task orders more than ``bucket`` positions however large a scope is. As items are distinct, those without a
+    scope are cut into buckets like others and those without a position are one for each scope.
     """
     cell = F.floor(F.col("position") / bucket)
     steps = (
@@ -63,9 +63,8 @@ def item_states(items: DataFrame, leases: DataFrame, bucket: int = BUCKET) -> Da
         .agg(F.max(F.when(F.col("status") == "done", F.col("taken_at"))).alias("done"), F.max(F.when(F.col("status") == "open", F.col("taken_at"))).alias("open"))
         .withColumn("cell", cell)
     )
-    whole = F.col("scope").isNotNull() & F.col("position").isNotNull() & F.col("seen_at").isNotNull()
-    work = items.where(whole).select("scope", "position", "seen_at").withColumn("cell", cell)
-    tops = work.select("scope", "cell").distinct()
+    work = items.select("scope", "position", "seen_at").withColumn("cell", cell)
+    tops = work.select("scope", "cell").where("scope is not null and cell is not null").distinct()
     down = W.partitionBy("scope").orderBy(F.col("cell").desc()).rowsBetween(W.unboundedPreceding, -1)
     nothing = F.lit(None).cast("timestamp")
     kind = dict(steps.dtypes)["done"]
@@ -84,9 +83,8 @@ def item_states(items: DataFrame, leases: DataFrame, bucket: int = BUCKET) -> Da
         .unionByName(carried.select("scope", "cell", ((F.col("cell") + 1) * bucket).cast(dict(work.dtypes)["position"]).alias("position"), nothing.cast(seen).alias("seen_at"), "done", "open", F.lit(False).alias("item")))
     )
     fall = W.partitionBy("scope", "cell").orderBy(F.col("position").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    has = lambda c: F.coalesce(F.max(c).over(fall) >= F.col("seen_at"), F.lit(False))
-    known = both.select("scope", "position", "seen_at", "item", F.when(has("done"), "done").when(has("open"), "leased").otherwise("pending").alias("state")).where("item").drop("item")
-    return known.unionByName(items.where(~whole).select("scope", "position", "seen_at", F.lit("pending").alias("state")))
+    has = lambda c: F.coalesce((F.max(c).over(fall) >= F.col("seen_at")) & F.col("scope").isNotNull() & F.col("position").isNotNull(), F.lit(False))
+    return both.select("scope", "position", "seen_at", "item", F.when(has("done"), "done").when(has("open"), "leased").otherwise("pending").alias("state")).where("item").drop("item")
 
 
 def next_items(states: DataFrame, upto: int, now: Column) -> DataFrame:
