@@ -447,6 +447,15 @@ def test_unmatched_brackets_take_linear_time():
     assert time.time() - began < 3
 
 
+@pytest.mark.parametrize("piece", ["1.", "a.", "A.B-"])
+def test_long_words_with_stops_are_followed_once(piece):
+    import time
+
+    began = time.time()
+    assert sentences.unit_ends(piece * 10_000)[-1] == len(piece) * 10_000
+    assert time.time() - began < 30
+
+
 def test_scripts_and_speakers_across_long_gaps():
     gap = " " * 200
     assert cut(f"It rose{gap}\n{gap}Mrs. Ann Krom:{gap}\nNo.") == ["It rose", "Mrs. Ann Krom:", "No."]

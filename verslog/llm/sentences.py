@@ -201,6 +201,7 @@ class Automaton:
         self.script, self.kana = script_of(text)
         self.mark = _MARK_ASCII if text.isascii() else _MARK_USUAL if _OTHER.isdisjoint(text) else _MARK
         self._told = (0, self.script)  # up to where the text was searched for a script, and the last one found
+        self._word = (0, -1)  # where the word before the last full stop begins, and that stop
         self.levels: list[dict[tuple[str, str, str], tuple[int, ...]]] = []
 
     @cached_property
@@ -462,6 +463,10 @@ class Automaton:
         low = a
         while low > unit and (text[low - 1].isalnum() or text[low - 1] in ".-§"):
             low -= 1
+            if low == self._word[1]:  # the stop before, from which the word was followed already
+                low = max(unit, self._word[0])
+                break
+        self._word = (low, a)
         word = text[low:a].lstrip(".")
         kind = "" if len(word) == 1 and word.isupper() and word not in "MD" else abbreviation(text, unit, a)
         opens, number = nxt in _OPENING, word.replace(".", "").isdigit()
